@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, leakage, quality
+from quern.llm import bpe, leakage, matching, quality
 from quern.session import table
 
 
+def p6_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched relations with their confidence."""
+    return matching.match_names(*[table(spark, sf, t) for t in ("relations", "symbols", "files")])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_matches(spark, sf).select("relation_id", "symbol_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
@@ -24,5 +33,5 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
