@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, leakage, matching, quality
+from quern.llm import bpe, clustering, leakage, matching, quality
 from quern.session import table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf, "symbol_vectors")).select("cluster_id", "symbol_id")
+
+
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and most typical members of every cluster."""
+    return clustering.describe(clustering.clusters(table(spark, sf, "symbol_vectors")))
+
+
 def p6_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Matched relations with their confidence."""
     return matching.match_names(*[table(spark, sf, t) for t in ("relations", "symbols", "files")])
@@ -33,5 +42,5 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
