@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import bpe, clustering, leakage, matching, quality
+from quern.llm import bpe, clustering, leakage, matching, pairs, quality
 from quern.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.pair_functions(table(spark, sf, "symbols")).select("symbol_id").distinct()
+
+
+def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept symbols with their cleaned documentation and code."""
+    symbols = table(spark, sf, "symbols")
+    kept = pairs.pair_functions(symbols).select("symbol_id", "documentation")
+    code = symbols.select(F.col("id").alias("symbol_id"), "signature", "body_snippet").distinct()
+    return kept.join(code, "symbol_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.clusters(table(spark, sf, "symbol_vectors")).select("cluster_id", "symbol_id")
 
@@ -42,5 +55,5 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_clusters, p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
