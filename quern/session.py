@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +34,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    A written table is compressed and columnar, is computed once, and later reads take only the columns they
+    need. Any executor can read it, so the loss of one costs nothing. Tables vanish when the driver ends.
+    """
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _written.append((spark, at))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, at in _written:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone; its owner clears the folder
+            return
 
 
 def shuffle_width(spark: SparkSession) -> int:
