@@ -11,7 +11,7 @@ from quern.schema import DEPENDENCY_KINDS, REPORTED_KINDS
 from quern.session import table
 
 DIM = 64
-ROOT, DEPTH = "tokenize%", 3
+ROOT, CALLER_ROOT, DEPTH = "%_mesh", "get_setting", 3
 TEXT_QUERY = "lock OR (semaphore AND cache) OR \"cold cache\" NOT zzz"
 
 
@@ -257,7 +257,8 @@ def a11_embedding_count(t):
 
 # Graphs
 
-_ROOT = "root AS (SELECT id, name FROM s WHERE name ILIKE 'tokenize%' ORDER BY name, id LIMIT 1)"
+_ROOT = f"root AS (SELECT id, name FROM s WHERE name ILIKE '{ROOT}' ORDER BY name, id LIMIT 1)"
+_CALLER_ROOT = f"root AS (SELECT id, name FROM s WHERE name ILIKE '{CALLER_ROOT}' ORDER BY name, id LIMIT 1)"
 
 
 def _bfs(a: str, b: str) -> str:
@@ -274,7 +275,7 @@ _NODES = "SELECT s.id, s.name, s.qualified_name, s.kind, s.file_id, s.start_line
 
 
 def _graph(t, callers=False):
-    return graph.call_graph(t.symbols(), t.relations(), ROOT, DEPTH, callers)
+    return graph.call_graph(t.symbols(), t.relations(), CALLER_ROOT if callers else ROOT, DEPTH, callers)
 
 
 @query(_with(_R, _S, _ROOT, _bfs("source_symbol_id", "target_symbol_id")) + _NODES)
@@ -287,12 +288,12 @@ def g1_callee_edges(t):
     return _graph(t)[1]
 
 
-@query(_with(_R, _S, _ROOT, _bfs("target_symbol_id", "source_symbol_id")) + _NODES)
+@query(_with(_R, _S, _CALLER_ROOT, _bfs("target_symbol_id", "source_symbol_id")) + _NODES)
 def g2_caller_nodes(t):
     return _graph(t, True)[0]
 
 
-@query(_with(_R, _S, _ROOT, _bfs("target_symbol_id", "source_symbol_id")) + _edges("target_symbol_id", "called_by"))
+@query(_with(_R, _S, _CALLER_ROOT, _bfs("target_symbol_id", "source_symbol_id")) + _edges("target_symbol_id", "called_by"))
 def g2_caller_edges(t):
     return _graph(t, True)[1]
 
