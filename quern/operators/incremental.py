@@ -57,32 +57,25 @@ def state_from_ledger(ledger: DataFrame, runs: DataFrame, key: str = "path") ->
     return latest_by(kept, key, "run_id").select(key, "content_hash")
 
 
-@dataclass
-class StateStore:
-    """Versions of the (key, hash) state under ``root``; the file CURRENT names the one in force.
+class VersionPointer:
+    """The file CURRENT under ``root``: names the version in force and is replaced by one atomic rename.
 
-    All file operations go through the Hadoop file system of the session, so ``root`` may be any shared
-    folder.  A version is written completely before CURRENT is renamed over.
+    All file operations go through the Hadoop file system of the session, so ``root`` may be any shared folder.
     """
 
-    spark: SparkSession
-    root: str
-    key: str
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root.rstrip("/"), *parts)))
+    def _fs(self):
+        return self._path("CURRENT").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current_version(self) -> str | None:
-        _, fs = self._fs()
-        at = self._path("CURRENT")
+    def current(self) -> str | None:
+        fs, at = self._fs(), self._path("CURRENT")
         if not fs.exists(at):
             return None
-        # the pointer is a few bytes; Spark's text reader would skip nothing but costs a job
         stream = fs.open(at)
         try:
             raw = bytes(b & 0xFF for b in stream.readAllBytes())
@@ -90,11 +83,36 @@ class StateStore:
             stream.close()
         return json.loads(raw.decode())["version"]
 
+    def swap(self, version: str) -> None:
+        jvm, conf, temp = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), self._path(f"CURRENT.{version}")
+        out = self._fs().create(temp, True)
+        try:
+            out.write(bytearray(json.dumps({"version": version}).encode()))
+        finally:
+            out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = self.spark.sparkContext._gateway.new_array(rename, 1)
+        overwrite[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), conf)
+        context.rename(context.makeQualified(temp), context.makeQualified(self._path("CURRENT")), overwrite)
+
+
+@dataclass
+class StateStore:
+    """Versions of the (key, hash) state under ``root``. A version is written completely before CURRENT names it."""
+
+    spark: SparkSession
+    root: str
+    key: str
+
+    def __post_init__(self) -> None:
+        self.pointer = VersionPointer(self.spark, self.root)
+
     def load(self) -> DataFrame:
-        version = self.current_version()
+        version = self.pointer.current()
         if version is None:
             return self.spark.createDataFrame([], f"`{self.key}` string, content_hash string")
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{version}")
+        return self.spark.read.parquet(f"{self.pointer.root}/{version}")
 
     def pending(self, current: DataFrame, content_hash: str = "content_hash") -> DataFrame:
         """What a run has to process now."""
@@ -105,28 +123,12 @@ class StateStore:
 
         Call after the output of the run is durable.  ``current`` is the snapshot the run processed.
         """
-        rows = current.select(F.col(f"`{self.key}`"), normal_hash(F.col(f"`{content_hash}`")).alias("content_hash"))
-        if keep_missing and self.current_version() is not None:
-            old = self.load()
-            gone = old.join(rows.select(F.col(f"`{self.key}`").alias("_k")), F.col(f"`{self.key}`").eqNullSafe(F.col("_k")), "left_anti")
+        rows = current.select(F.col(f"`{self.key}`").cast("string").alias(self.key), normal_hash(F.col(f"`{content_hash}`")).alias("content_hash"))
+        if keep_missing and self.pointer.current() is not None:
+            here = rows.select(F.col(f"`{self.key}`").alias("_k"))
+            gone = self.load().join(here, F.col(f"`{self.key}`").eqNullSafe(F.col("_k")), "left_anti")
             rows = rows.unionByName(gone)
         version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root.rstrip('/')}/{version}")
-        self._swap(version)
+        rows.write.parquet(f"{self.pointer.root}/{version}")
+        self.pointer.swap(version)
         return version
-
-    def _swap(self, version: str) -> None:
-        jvm, fs = self._fs()
-        temp = self._path(f"CURRENT.{version}")
-        out = fs.create(temp, True)
-        try:
-            out.write(bytearray(json.dumps({"version": version}).encode()))
-        finally:
-            out.close()
-        # FileContext renames over an existing file in one step
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._jvm.java.lang.reflect.Array.newInstance(
-            jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1
-        )
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(context.makeQualified(temp), context.makeQualified(self._path("CURRENT")), overwrite)

@@ -6,6 +6,7 @@ whole.  Macros are not expanded and preprocessor branches are all read.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from quern.sources.parse.model import Parsed, Symbol, snippet
@@ -36,7 +37,9 @@ class _Scan:
         if language not in ("c", "cpp"):
             self.all = [t for t in self.all if t[0] != "pre"]
         self.t = [t for t in self.all if t[0] != "comment"]
+        self.all_starts = [t[2] for t in self.all]
         self.match = self._brackets()
+        self.inside = self._innermost()
         self.stack: list[tuple[int, int]] = []  # (symbol, token index of its end)
         self.class_bodies: set[int] = set()
 
@@ -59,6 +62,17 @@ class _Scan:
             pairs[k] = len(self.t) - 1
         return pairs
 
+    def _innermost(self) -> list[int]:
+        """For each token the innermost bracket around it, -1 at the top."""
+        out, open_at = [], []
+        for k in range(len(self.t)):
+            while open_at and self.match[open_at[-1]] < k:
+                open_at.pop()
+            out.append(open_at[-1] if open_at else -1)
+            if k in self.match:
+                open_at.append(k)
+        return out
+
     def text(self, k: int) -> str:
         return self.t[k][1] if 0 <= k < len(self.t) else ""
 
@@ -66,8 +80,6 @@ class _Scan:
         return self.t[k][0] if 0 <= k < len(self.t) else ""
 
     def line(self, at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(self.starts, at)
 
     def col(self, at: int) -> int:
@@ -83,11 +95,8 @@ class _Scan:
     def comment_before(self, k: int) -> str | None:
         """The comment right before token k, if nothing but blanks of one line stands between."""
         begin = self.t[k][2]
-        before = None
-        for t in self.all:
-            if t[2] >= begin:
-                break
-            before = t
+        at = bisect.bisect_left(self.all_starts, begin)
+        before = self.all[at - 1] if at else None
         if before is None or before[0] != "comment" or self.line(before[3] - 1) + 1 < self.line(begin):
             return None
         text = before[1]
@@ -101,11 +110,11 @@ class _Scan:
 
     def doc_lines(self, k: int) -> str | None:
         """Contiguous /// or //! lines before token k."""
-        begin, run = self.t[k][2], []
-        for t in self.all:
-            if t[2] >= begin:
-                break
-            run = [*run, t[1]] if t[0] == "comment" and t[1].startswith(("///", "//!")) else []
+        run: list[str] = []
+        at = bisect.bisect_left(self.all_starts, self.t[k][2]) - 1
+        while at >= 0 and self.all[at][0] == "comment" and self.all[at][1].startswith(("///", "//!")):
+            run.insert(0, self.all[at][1])
+            at -= 1
         return "\n".join(re.sub(r"^(?:///|//!)+", "", c).strip() for c in run) if run else None
 
     def add(self, name: str, kind: str, a: int, b: int, *, under: bool, signature: str | None = None, body: str | None = None, doc: str | None = None, scope: bool = True) -> int:
@@ -240,12 +249,7 @@ class _Scan:
         return None
 
     def _in_class_body(self, k: int) -> bool:
-        for b in self.class_bodies:
-            if b < k < self.match[b]:
-                depth = sum(1 for o, c in self.match.items() if b < o < k <= c and o != k)
-                if not depth:
-                    return True
-        return False
+        return self.inside[k] in self.class_bodies
 
     def rust(self, k: int) -> int | None:
         x = self.text(k)

@@ -6,6 +6,7 @@ import fnmatch
 import os
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,13 +88,15 @@ def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> Da
     Files that are no valid UTF-8 are skipped. Listing and reading happen on the executors.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
     plain = F.regexp_replace("path", r"^file:/*", "/")
-    rel = F.expr(f"substring({'regexp_replace(path, \"^file:/*\", \"/\")'}, {len(base) + 2})")
+    rel = F.substring(plain, F.lit(len(root.rstrip("/")) + 2), F.length(plain))
     files = raw.select(plain.alias("path"), rel.alias("relative_path"), "content", F.col("length").alias("size_bytes"))
     files = files.where(~ignored(F.col("relative_path"))).withColumn("language", language_of(F.col("relative_path"))).where("language <> 'unknown'")
     if rules is not None and rules.rules:
-        hidden = F.udf(rules.matches, "boolean")  # rules are few; one call per listed file, before any content is decoded
+        @F.pandas_udf("boolean")
+        def hidden(paths: pd.Series) -> pd.Series:
+            return paths.map(rules.matches).astype(bool)
+
         files = files.where(~hidden("relative_path"))
     valid = files.where(F.expr("is_valid_utf8(content)"))
     text = F.decode("content", "UTF-8")
