@@ -59,6 +59,7 @@ class Phrase:
     prefix: bool = False
     first: bool = False
     columns: tuple[str, ...] | None = None
+    near: Node | None = None
 
     def _fits(self, toks: Column, at: Column) -> Column:
         """Whether the phrase starts at 0-based position ``at``."""
@@ -76,6 +77,29 @@ class Phrase:
         steps = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.filter(steps, lambda i: F.coalesce(self._fits(toks, i), F.lit(False)))
 
+    def _close(self, toks: Column):
+        """Test of a position in one column: every other phrase of the NEAR lies within its gap."""
+        others = [(len(p.words), p.positions(toks)) for p in self.near.phrases if p is not self]
+
+        def test(i: Column) -> Column:
+            near = [F.exists(spots, self._within(i, size)) for size, spots in others]
+            return reduce(lambda a, b: a & b, near, F.lit(True))
+
+        return test
+
+    def _within(self, i: Column, size: int):
+        return lambda j: (j - i - len(self.words) <= self.near.gap) & (i - j - size <= self.near.gap)
+
+    def frequency(self, cols: dict[str, Column]) -> Column:
+        """Occurrences that count for the score: inside NEAR only those close to all others."""
+        if self.near is None:
+            return self.count(cols)
+        parts = []
+        for n, c in cols.items():
+            if self.columns is None or n in self.columns:
+                parts.append(F.size(F.filter(self.positions(c), self._close(c))))
+        return reduce(lambda a, b: a + b, parts, F.lit(0))
+
     def count(self, cols: dict[str, Column]) -> Column:
         used = [c for n, c in cols.items() if self.columns is None or n in self.columns]
         if not used or not self.words:
@@ -256,7 +280,12 @@ class Parser:
             phrases.append(self._phrase(columns))
         if not phrases:
             raise QueryError("NEAR is empty")
-        return Node("near", phrases=phrases, gap=gap) if len(phrases) > 1 else Node("phrase", phrases=phrases)
+        if len(phrases) == 1:
+            return Node("phrase", phrases=phrases)
+        node = Node("near", phrases=phrases, gap=gap)
+        for p in phrases:
+            p.near = node
+        return node
 
 
 def rank_rows(rows: DataFrame, query: str, id: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -271,9 +300,10 @@ def rank_rows(rows: DataFrame, query: str, id: str = "id", columns: tuple[str, .
         "_id",
         reduce(lambda a, b: a + b, [F.size(c) for c in cols.values()]).alias("_len"),
         tree.test(cols).alias("_hit"),
-        *[p.count(cols).alias(f"_f{k}") for k, p in enumerate(phrases)],
+        *[p.frequency(cols).alias(f"_f{k}") for k, p in enumerate(phrases)],
+        *[(p.count(cols) > 0).alias(f"_d{k}") for k, p in enumerate(phrases)],
     )
-    s = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("len"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"d{k}") for k in range(len(phrases))]).first()
+    s = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("len"), *[F.count_if(F.col(f"_d{k}")).alias(f"d{k}") for k in range(len(phrases))]).first()
     n, mean = s["n"], (s["len"] or 0) / s["n"] if s["n"] else 0.0
     score = F.lit(0.0)
     for k in range(len(phrases)):
