@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quern.session import cut, shuffle_width
 
 #: Similarity of members; similarity of a leaf to its members; link between leaf centres; hash tables of two rotations.
-THRESHOLD, LEAF, LINK, TABLES = 0.8, 0.9, 0.76, 16
+THRESHOLD, LEAF, LINK, TABLES = 0.8, 0.9, 0.76, 28
 #: Members compared in one block of the verification; typical members reported.
 SHARD, TYPICAL = 4096, 3
 
