@@ -61,6 +61,12 @@ def p5_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Root, depth, path and number of descendants of every symbol that a root reaches."""
+    tree = H.hierarchy(H.clean_links(table(spark, sf, "symbols"), "id", "parent_symbol_id", "name")).where("root IS NOT NULL")
+    return tree.select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), "depth", "path", (F.col("size") - 1).alias("descendants"))
+
+
 def _p7_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [table(spark, sf, t) for t in ("relations", "symbols", "symbols_late", "symbol_events", "files")]
 
@@ -75,10 +81,28 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return O.orphan_report(*_p7_tables(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_targets, p5_found, p5_hierarchy, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_targets, p5_found, p5_hierarchy, p5_paths, p7_found, p7_report)}
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(trim(relative_path), '[\\/]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/+', '')"
 
+_P7 = f"""
+WITH ev AS (SELECT symbol_id, action FROM symbol_events QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY logged_at DESC, event_id DESC) = 1),
+live AS (SELECT DISTINCT id, file_id, name FROM (SELECT id, file_id, name FROM symbols UNION ALL SELECT id, file_id, name FROM symbols_late)
+  WHERE id NOT IN (SELECT symbol_id FROM ev WHERE lower(trim(action)) = 'deleted')),
+f AS (SELECT id, nullif(regexp_extract({_CLEAN}, '^([^/]+/[^/]+)/', 1), '') AS pkg, last_indexed FROM files
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_indexed DESC, relative_path DESC) = 1),
+ln AS (SELECT DISTINCT f.pkg, live.name FROM live JOIN f ON live.file_id = f.id),
+r AS (SELECT DISTINCT id, source_symbol_id, target_symbol_id, target_symbol_name, file_id FROM relations),
+found AS (SELECT r.id AS relation_id, 'source_symbol_id' AS ref_field FROM r LEFT JOIN (SELECT DISTINCT id FROM live) l ON r.source_symbol_id = l.id WHERE l.id IS NULL
+UNION ALL
+SELECT r.id, 'target_symbol_id' FROM r LEFT JOIN (SELECT DISTINCT id FROM live) l ON r.target_symbol_id = l.id WHERE l.id IS NULL AND r.target_symbol_id IS NOT NULL
+UNION ALL
+SELECT r.id, 'target_symbol_name' FROM r JOIN (SELECT id, list(name) AS names FROM live GROUP BY id) l ON r.target_symbol_id = l.id WHERE NOT list_contains(l.names, r.target_symbol_name)
+UNION ALL
+SELECT r.id, 'target_symbol_name' FROM r LEFT JOIN f ON r.file_id = f.id LEFT JOIN ln ON ln.pkg = f.pkg AND ln.name = r.target_symbol_name
+WHERE r.target_symbol_id IS NULL AND ln.name IS NULL)
+"""
+
 SQL = {
     "p2_found": """
 WITH cur AS (SELECT path, id, lower(trim(content_hash)) AS h FROM (SELECT DISTINCT * FROM files)
@@ -105,20 +129,20 @@ walk(first_id, here, low, n) AS (
   SELECT w.first_id, s.parent, least(w.low, coalesce(s.parent, w.low)), n + 1 FROM walk w JOIN s ON s.id = w.here
   WHERE w.here <> w.first_id AND s.parent IS NOT NULL AND n < 200)
 SELECT low AS cycle_id, first_id AS symbol_id FROM walk WHERE here = first_id""",
-    "p7_found": f"""
-WITH ev AS (SELECT symbol_id, action FROM symbol_events QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY logged_at DESC, event_id DESC) = 1),
-live AS (SELECT DISTINCT id, file_id, name FROM (SELECT id, file_id, name FROM symbols UNION ALL SELECT id, file_id, name FROM symbols_late)
-  WHERE id NOT IN (SELECT symbol_id FROM ev WHERE lower(trim(action)) = 'deleted')),
-f AS (SELECT id, nullif(regexp_extract({_CLEAN}, '^([^/]+/[^/]+)/', 1), '') AS pkg FROM files
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_indexed DESC, relative_path DESC) = 1),
-ln AS (SELECT DISTINCT f.pkg, live.name FROM live JOIN f ON live.file_id = f.id),
-r AS (SELECT DISTINCT id, source_symbol_id, target_symbol_id, target_symbol_name, file_id FROM relations)
-SELECT r.id AS relation_id, 'source_symbol_id' AS ref_field FROM r LEFT JOIN (SELECT DISTINCT id FROM live) l ON r.source_symbol_id = l.id WHERE l.id IS NULL
-UNION ALL
-SELECT r.id, 'target_symbol_id' FROM r LEFT JOIN (SELECT DISTINCT id FROM live) l ON r.target_symbol_id = l.id WHERE l.id IS NULL AND r.target_symbol_id IS NOT NULL
-UNION ALL
-SELECT r.id, 'target_symbol_name' FROM r JOIN (SELECT id, list(name) AS names FROM live GROUP BY id) l ON r.target_symbol_id = l.id WHERE NOT list_contains(l.names, r.target_symbol_name)
-UNION ALL
-SELECT r.id, 'target_symbol_name' FROM r LEFT JOIN f ON r.file_id = f.id LEFT JOIN ln ON ln.pkg = f.pkg AND ln.name = r.target_symbol_name
-WHERE r.target_symbol_id IS NULL AND ln.name IS NULL""",
+    "p5_paths": """
+WITH RECURSIVE s AS (SELECT id, min(parent_symbol_id) AS parent, min(name) AS name FROM symbols GROUP BY id),
+t(id, root_id, depth, path, above) AS (
+  SELECT id, id, 1::BIGINT, name, []::BIGINT[] FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s)
+  UNION ALL SELECT s.id, t.root_id, t.depth + 1, t.path || '/' || s.name, list_append(t.above, t.id) FROM t JOIN s ON s.parent = t.id),
+d AS (SELECT a, count(*) AS n FROM (SELECT unnest(above) AS a FROM t) GROUP BY a)
+SELECT id AS symbol_id, root_id, depth, path, coalesce(d.n, 0) AS descendants FROM t LEFT JOIN d ON d.a = t.id""",
+    "p7_found": _P7 + "SELECT * FROM found",
+    "p7_report": _P7.replace("WITH ev", "WITH RECURSIVE ev") + """,
+par AS (SELECT DISTINCT id, parent_symbol_id AS parent FROM (SELECT id, parent_symbol_id FROM symbols UNION ALL SELECT id, parent_symbol_id FROM symbols_late) WHERE id IN (SELECT id FROM live) AND parent_symbol_id IS NOT NULL),
+below(id) AS (SELECT id FROM par WHERE parent NOT IN (SELECT id FROM live) UNION SELECT par.id FROM below JOIN par ON par.parent = below.id),
+inh AS (SELECT id AS relation_id, 'source_symbol_id' AS ref_field, file_id FROM r WHERE source_symbol_id IN (SELECT id FROM below)
+  UNION ALL SELECT id, 'target_symbol_id', file_id FROM r WHERE target_symbol_id IN (SELECT id FROM below)),
+every AS (SELECT found.*, r.file_id, 1 AS direct, 0 AS inherited FROM found JOIN r ON r.id = found.relation_id
+  UNION ALL SELECT relation_id, ref_field, file_id, 0, 1 FROM inh WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.relation_id = inh.relation_id AND found.ref_field = inh.ref_field))
+SELECT ref_field, strftime(make_timestamp(f.last_indexed * 1000000), '%Y-%m') AS month, sum(direct)::BIGINT AS direct, sum(inherited)::BIGINT AS inherited FROM every LEFT JOIN f ON every.file_id = f.id GROUP BY 1, 2""",
 }
