@@ -42,7 +42,7 @@ def call_graph(symbols: DataFrame, relations: DataFrame, name: str, depth: int,
     Nodes carry their least level. An edge is listed for every call (multigraph, self-loops, cycles and
     edges to seen nodes included) whose expanded end lies below ``depth``.
     """
-    root = root_of(symbols, name)
+    root = cut(root_of(symbols, name).select("id"))
     if root.isEmpty():
         raise SymbolNotFound(name)
     calls = relations.where((F.col("kind") == "calls") & F.col("target_symbol_id").isNotNull())

@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     plan = S.plan_loads(rel, ["target_symbol_name"])
     counts = S.per_key_counts(rel, plan, "id")
     total = rel.select("id").distinct().count()
-    return counts.where(F.col("distinct_id") >= HOT_SHARE * total).select("target_symbol_name")
+    return counts.where((F.col("distinct_id") >= HOT_SHARE * total) & F.col("target_symbol_name").isNotNull()).select("target_symbol_name")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +114,7 @@ SELECT cur.id AS file_id FROM cur LEFT JOIN st ON cur.path IS NOT DISTINCT FROM
 WHERE st.path IS NULL OR st.h IS DISTINCT FROM cur.h""",
     "p3_found": """
 WITH r AS (SELECT DISTINCT id, target_symbol_name FROM relations)
-SELECT target_symbol_name FROM r GROUP BY 1
+SELECT target_symbol_name FROM r WHERE target_symbol_name IS NOT NULL GROUP BY 1
 HAVING count(DISTINCT id) >= 0.02 * (SELECT count(DISTINCT id) FROM r)""",
     "p3_targets": """
 WITH r AS (SELECT DISTINCT id, target_symbol_name, target_symbol_id, source_symbol_id, kind FROM relations WHERE kind = 'calls'),

@@ -15,18 +15,27 @@ ROOT, CALLER_ROOT, DEPTH = "%_mesh", "get_setting", 3
 TEXT_QUERY = "lock OR (semaphore AND cache) OR \"cold cache\" NOT zzz"
 
 
+SHORT = ["id", "name", "qualified_name", "kind", "file_id", "start_line"]
+
+
 class Tables:
     """The tables as the operators want them: one current row per file, distinct rows, kinds in lower case."""
 
     def __init__(self, spark: SparkSession, sf: str) -> None:
         self.spark, self.sf = spark, sf
 
-    def files(self) -> DataFrame:
-        now = incremental.latest_by(table(self.spark, self.sf, "files"), "id", "last_indexed")
+    def files(self, *cols: str) -> DataFrame:
+        """The current row of each file, with cleaned paths; only the named columns are read."""
+        rows = table(self.spark, self.sf, "files")
+        now = incremental.latest_by(rows.select(*dict.fromkeys(("id", "last_indexed", "path", "relative_path", *(cols or rows.columns)))), "id", "last_indexed")
         return now.withColumn("relative_path", clean_path(F.col("relative_path")))
 
-    def symbols(self) -> DataFrame:
-        return table(self.spark, self.sf, "symbols").withColumn("kind", F.lower("kind")).distinct()
+    def symbols(self, *more: str) -> DataFrame:
+        """Distinct symbols. Columns are picked before rows are told apart, so the shuffle carries no text unless asked for."""
+        return table(self.spark, self.sf, "symbols").select(*SHORT, *more).withColumn("kind", F.lower("kind")).distinct()
+
+    def texts(self) -> DataFrame:
+        return self.symbols("signature", "doc_comment", "body_snippet")
 
     def relations(self) -> DataFrame:
         return table(self.spark, self.sf, "relations").distinct()
@@ -41,7 +50,6 @@ class Tables:
         return table(self.spark, self.sf, "documents")
 
 
-SHORT = ["id", "name", "qualified_name", "kind", "file_id", "start_line"]
 EDGE = ["id", "source_symbol_id", "target_symbol_name", "target_symbol_id", "kind", "file_id", "line"]
 
 _F = r"""f AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(trim(relative_path), '[\\/]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/+', '') AS relative_path)
@@ -154,7 +162,7 @@ _D = f"""d AS (SELECT DISTINCT sf.relative_path AS source_path, tf.relative_path
 
 
 def _dependencies(t):
-    return relational.file_dependencies(t.relations(), t.symbols(), t.files())
+    return relational.file_dependencies(t.relations(), t.symbols(), t.files("id"))
 
 
 @query(_with(_R, _S, _F, _D) + "SELECT * FROM d")
@@ -177,12 +185,12 @@ _A2 = "a2 AS (SELECT f.relative_path AS file, s.kind, count(*) AS count FROM s J
 
 @query(_with(_S, _F, _A2) + "SELECT * FROM a2")
 def j4_symbol_counts(t):
-    return relational.symbol_counts(t.symbols(), t.files())
+    return relational.symbol_counts(t.symbols(), t.files("id"))
 
 
 @query(_with(_S, _F) + "SELECT s.id, s.name, coalesce(f.relative_path, '') AS file_path FROM s LEFT JOIN f ON s.file_id = f.id")
 def j7_with_paths(t):
-    return relational.with_paths(t.symbols(), t.files()).select("id", "name", "file_path")
+    return relational.with_paths(t.symbols(), t.files("id")).select("id", "name", "file_path")
 
 
 @query(_with(_R, _S, _F) + """SELECT g.id AS target_id, g.qualified_name AS target, a.name AS source, a.kind AS source_kind, r.kind AS relation_kind, coalesce(f.relative_path, '') AS file_path, r.line, r.id AS relation_id
@@ -201,12 +209,12 @@ def j9_implementations(t):
 
 @query(_with(_F, _S, _R) + "SELECT (SELECT count(*) FROM f) AS total_files, (SELECT list_sort(list(DISTINCT language)) FROM f) AS languages, (SELECT count(*) FROM s) AS total_symbols, (SELECT count(*) FROM r) AS total_relations, (SELECT count(*) FROM symbol_vectors) AS total_embeddings")
 def a1_stats(t):
-    return relational.index_stats(t.files(), t.symbols(), t.relations(), table(t.spark, t.sf, "symbol_vectors"))
+    return relational.index_stats(t.files("language"), t.symbols(), t.relations(), table(t.spark, t.sf, "symbol_vectors"))
 
 
 @query(_with(_S, _F, _A2) + """SELECT file, sum(count)::BIGINT AS total, map_from_entries(list_sort(list(struct_pack(k := kind, v := count)))) AS kinds, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir FROM a2 GROUP BY file""")
 def a3_file_counts(t):
-    return relational.file_counts(relational.symbol_counts(t.symbols(), t.files()))
+    return relational.file_counts(relational.symbol_counts(t.symbols(), t.files("id")))
 
 
 @query(_with(_R, _S, _F, _D) + "SELECT source_path AS source, target_path AS target, count(*) AS weight, list_sort(list(DISTINCT kind)) AS kinds FROM d GROUP BY 1, 2")
@@ -224,7 +232,7 @@ _DIR = "CASE WHEN regexp_extract(relative_path, '^(.*)/[^/]*$', 1) = '' THEN '.'
 
 @query(_with(_F) + f"SELECT {_DIR} AS dir, list_sort(list(relative_path)) AS files FROM f GROUP BY 1")
 def a6_files_per_directory(t):
-    return relational.files_per_directory(t.files())
+    return relational.files_per_directory(t.files("id"))
 
 
 @query(_with(_S) + f"SELECT kind, count(*) AS count FROM s WHERE kind IN {REPORTED_KINDS} GROUP BY 1")
@@ -234,14 +242,14 @@ def a7_kind_counts(t):
 
 @query(_with(_F) + "SELECT language, count(*) AS count FROM f GROUP BY 1")
 def a8_language_counts(t):
-    return relational.language_counts(t.files())
+    return relational.language_counts(t.files("language"))
 
 
 @query(_with(_F, _S, _R) + f"""SELECT 'totals' AS section, 'files' AS name, (SELECT count(*) FROM f) AS count UNION ALL SELECT 'totals', 'symbols', (SELECT count(*) FROM s) UNION ALL SELECT 'totals', 'relations', (SELECT count(*) FROM r)
 UNION ALL SELECT 'totals', 'embeddings', (SELECT count(*) FROM symbol_vectors) UNION ALL SELECT 'languages', language, count(*) FROM f GROUP BY language
 UNION ALL SELECT 'kinds', kind, count(*) FROM s WHERE kind IN {REPORTED_KINDS} GROUP BY kind UNION ALL SELECT 'directories', {_DIR}, count(*) FROM f GROUP BY 2""")
 def a9_project_structure(t):
-    return relational.project_structure(t.files(), t.symbols(), t.relations(), table(t.spark, t.sf, "symbol_vectors"))
+    return relational.project_structure(t.files("language"), t.symbols(), t.relations(), table(t.spark, t.sf, "symbol_vectors"))
 
 
 @query(_with(_F, _S) + """SELECT regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS dir, relative_path AS file, count(*) AS n, min(s.start_line)::BIGINT AS first_line FROM f JOIN s ON s.file_id = f.id GROUP BY 1, 2""")
@@ -344,32 +352,32 @@ def _rounded(df, *cols):
 
 @query(_bm25(["lock", "cache"], "f0 > 0 OR f1 > 0", "SELECT id, round(rank, 6) AS rank FROM k"))
 def f1_rank_all(t):
-    return _rounded(fts.rank_rows(t.symbols(), "lock OR cache"), "rank")
+    return _rounded(fts.rank_rows(t.texts(), "lock OR cache"), "rank")
 
 
 @query(_bm25(["semaphore", "lock", "cache"], "f0 > 0 AND f1 > 0 AND NOT f2 > 0", "SELECT id, round(rank, 6) AS rank FROM k ORDER BY k.rank, id LIMIT 50"))
 def f1_search(t):
-    return _rounded(fts.search(t.symbols(), "semaphore lock NOT cache", 50), "rank")
+    return _rounded(fts.search(t.texts(), "semaphore lock NOT cache", 50), "rank")
 
 
 @query(_bm25(["callers", "tokenize"], "f0 > 0 AND f1 > 0", "SELECT id, round(rank, 6) AS rank, round(1 / (1 + abs(rank)), 6) AS score FROM k ORDER BY k.rank, id LIMIT 20"))
 def f3_text_search(t):
-    return _rounded(fts.text_search(t.symbols(), "callers AND tokenize", 20), "rank", "score")
+    return _rounded(fts.text_search(t.texts(), "callers AND tokenize", 20), "rank", "score")
 
 
 @query(_with(_S, "cols AS (" + " UNION ALL ".join(f"SELECT id, ' ' || array_to_string({_TOK.format(c=c)}, ' ') || ' ' AS x FROM s" for c in fts.COLUMNS) + ")") + "SELECT DISTINCT id FROM cols WHERE contains(x, ' concurrent use since ') ")
 def f1_phrase(t):
-    return fts.rank_rows(t.symbols(), '"concurrent use, since"').select("id")
+    return fts.rank_rows(t.texts(), '"concurrent use, since"').select("id")
 
 
 @query(_with(_S, "cols AS (" + " UNION ALL ".join(f"SELECT id, ' ' || array_to_string({_TOK.format(c=c)}, ' ') || ' ' AS x FROM s" for c in fts.COLUMNS) + ")") + "SELECT DISTINCT id FROM cols WHERE contains(x, ' tokeniz') ORDER BY id LIMIT 20")
 def f2_prefix_search(t):
-    return fts.prefix_search(t.symbols(), "tokeniz")
+    return fts.prefix_search(t.texts(), "tokeniz")
 
 
 @query(_with(_S, f"p AS (SELECT unnest({_ALL}) AS term FROM s)") + "SELECT term, count(*) AS n FROM p GROUP BY 1")
 def s14_posting_counts(t):
-    return fts.postings(t.symbols()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return fts.postings(t.texts()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Vectors
@@ -399,7 +407,7 @@ def v2_normalized(t):
 
 @query(_with(_S) + "SELECT id, concat_ws(' | ', kind || ' ' || name, signature, doc_comment, body_snippet) AS text FROM s WHERE kind NOT IN ('import', 'variable', 'assignment', 'constant')")
 def v7_embed_text(t):
-    return vector.embeddable(t.symbols()).select("id", vector.embed_text().alias("text"))
+    return vector.embeddable(t.texts()).select("id", vector.embed_text().alias("text"))
 
 
 _H = """x AS (SELECT id, 1 / (1 + abs(rank)) AS t FROM k ORDER BY rank, id LIMIT 40),
@@ -412,7 +420,7 @@ SELECT b.id, s.name, s.qualified_name, s.kind, coalesce(f.relative_path, '') AS
 def h1_hybrid(t):
     v = t.vectors()
     q = v.orderBy("symbol_id").first().vector
-    found = vector.hybrid_search(t.symbols(), t.files(), v, "semaphore lock", q, 20)
+    found = vector.hybrid_search(t.texts(), t.files(), v, "semaphore lock", q, 20)
     return found.withColumn("score", F.round("score", 6))
 
 
