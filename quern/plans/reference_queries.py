@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import embedder
 from quern.functions.paths import clean_path
 from quern.operators import fts, graph, incremental, lookup, relational, vector
+from quern.plans import index
 from quern.schema import DEPENDENCY_KINDS, REPORTED_KINDS
 from quern.session import table
+from quern.sources.parse import parse_files
 
 DIM = 64
 ROOT, CALLER_ROOT, DEPTH = "%_mesh", "get_setting", 3
@@ -446,6 +449,49 @@ def s6_changed_files(t):
     return incremental.changed_records(t.files(), state, "path").select("id")
 
 
+_ST = "st AS (SELECT path, lower(trim(content_hash)) AS h FROM index_ledger WHERE run_id IN (SELECT run_id FROM index_runs WHERE lower(trim(status)) = 'committed') QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC, content_hash DESC) = 1)"
+
+
+@query(_with(_F, _ST) + """SELECT f.id, f.path, f.relative_path, f.language, coalesce(st.h, f.content_hash) AS content_hash, CASE WHEN st.h IS NULL THEN f.size_bytes ELSE 0 END AS size_bytes, CASE WHEN st.h IS NULL THEN f.last_indexed ELSE 7 END AS last_indexed FROM f LEFT JOIN st USING (path)
+UNION ALL SELECT (SELECT max(id) FROM f) + row_number() OVER (ORDER BY path), path, path, 'unknown', h, 0, 7 FROM st WHERE path NOT IN (SELECT path FROM f)""")
+def s7_upsert_files(t):
+    """Current files, brought to the state of the ledger: known paths keep id, relative path and language."""
+    state = incremental.state_from_ledger(table(t.spark, t.sf, "index_ledger"), table(t.spark, t.sf, "index_runs"))
+    seen = state.select("path", F.col("path").alias("relative_path"), F.lit("unknown").alias("language"), incremental.normal_hash(F.col("content_hash")).alias("content_hash"), F.lit(0).cast("long").alias("size_bytes"))
+    return index.upsert_files(t.files(), seen, 7)
+
+
+@query(_with(_F, _S, _R, "g AS (SELECT id FROM f WHERE language = 'go')", "o AS (SELECT id FROM s WHERE file_id IN (SELECT id FROM g))") + """SELECT id, source_symbol_id, CASE WHEN target_symbol_id NOT IN (SELECT id FROM o) THEN target_symbol_id END AS target_symbol_id
+FROM r WHERE file_id NOT IN (SELECT id FROM g) AND source_symbol_id NOT IN (SELECT id FROM o)""")
+def s10_delete_files(t):
+    """Relations left after the files of one language are deleted: own ones go, edges into them lose their target."""
+    rows = {"files": t.files(), "symbols": t.symbols(), "relations": t.relations(), "embeddings": t.vectors()}
+    gone = rows["files"].where("language = 'go'").select(F.col("id").alias("file_id"))
+    return index.delete_files(rows, gone)["relations"].select("id", "source_symbol_id", "target_symbol_id")
+
+
+@query(_with(_S) + "SELECT id AS symbol_id, 1.0::DOUBLE AS norm FROM s WHERE kind NOT IN ('import', 'variable', 'assignment', 'constant')")
+def v6_embed(t):
+    """Hashed vectors of all symbols that get one; their lengths."""
+    rows = vector.embeddable(t.texts()).select(F.col("id").alias("symbol_id"), vector.embed_text().alias("text"))
+    made = embedder.embed_rows(rows, embedder.HashingEmbedder())
+    return made.select("symbol_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 4).alias("norm"))
+
+
+@query()
+def parse_documents(t):
+    """Symbols and calls per language and kind that the parsers find in the listings among the documents."""
+    text = F.col("text")
+    language = (
+        F.when(text.rlike(r"(?m)^\s*(async )?def \w+\("), "python").when(text.rlike(r"(?m)^\s*(pub )?fn \w+"), "rust").when(text.rlike(r"(?m)^\s*func "), "go")
+        .when(text.rlike(r"(?m)^\s*(export )?(async )?function "), "typescript").when(text.rlike(r"(?m)^\s*public "), "java").when(text.rlike(r"(?m)^[\w:]+[ *]+\w+\(.*\) *\{"), "cpp").otherwise("unknown")
+    )
+    files = t.documents().select(F.col("doc_id").alias("file_id"), F.coalesce("rel_path", F.lit("")).alias("relative_path"), language.alias("language"), "text")
+    found = parse_files(files.where("language <> 'unknown'")).join(files.select("file_id", "language"), "file_id")
+    symbols = found.select("language", F.explode("symbols.kind").alias("kind"))
+    return symbols.unionByName(found.select("language", F.explode("relations.kind").alias("kind"))).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_with(_S, _R, "rr AS (SELECT DISTINCT * FROM r)", "n AS (SELECT name, min(id) AS id FROM s GROUP BY name)", "c AS (SELECT r.id, source_symbol_id, coalesce(r.target_symbol_id, n.id) AS target FROM r LEFT JOIN n ON r.target_symbol_name = n.name WHERE r.kind = 'calls')", _ROOT, "w(id, lvl) AS (SELECT id, 0 FROM root UNION SELECT c.target, w.lvl + 1 FROM w JOIN c ON c.source_symbol_id = w.id JOIN s ON s.id = c.target WHERE w.lvl < 2)") + "SELECT s.id, s.name, s.qualified_name, s.kind, s.file_id, s.start_line, min(lvl) AS lvl FROM w JOIN s ON s.id = w.id GROUP BY ALL")
 def flagship_callees(t):
     """Resolve relations by name, then the callees of one symbol to depth 2."""
