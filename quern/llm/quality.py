@@ -32,17 +32,21 @@ MORE_GERMAN = "ein eine einen einem einer dem des im am auf für dass sich sind
 MORE_FRENCH = "du au aux une se ce cette qui pour sur avec sans plus a été pas elle ils sont était faut puis où leur"
 MORE_SPANISH = "los las una al del le su sus para sin más está este esta como pero han sido ser hemos hasta sobre ni había"
 
-#: Least words of a sentence; least Han characters of one; share of function words between which a sentence is plausible.
-MIN_WORDS, MIN_HAN, COMMON_LOW, COMMON_HIGH = 5, 8, 0.12, 0.72
+#: Least words of a sentence, and of one that begins in lower case; least Han characters of one; share of function words between which a sentence is plausible.
+MIN_WORDS, LOWER_WORDS, MIN_HAN, COMMON_LOW, COMMON_HIGH = 5, 8, 8, 0.12, 0.72
 
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
 _HAN = re.compile(r"[㐀-鿿]")
 _LIST = re.compile(r"\s*(?:[-*•+–·▪◦‣]\s|\(?\d{1,3}[.)]\s|#\.\s|\[[ xX]?\]\s|[a-z]\)\s)")
-_QUOTE = re.compile(r"\s*(?:>+|--|//+|;+|#+|%+|\*)\s+")
-_TABLE = re.compile(r"^\||\|$|\s\|\s|\t|\S {3,}\S|^[-+=|:_~*#. ]+$")
+_QUOTE = re.compile(r"\s*(?:>+|\|+|--|//+|;+|#+|%+|\*)\s+")
+_TABLE = re.compile(r"^\|.*\||\|$|\S\s+\|\s|\t|\S {3,}\S|^[-+=|:_~*#. ]+$")
 _LOG = re.compile(r"\s*(?:\d{4}-\d\d-\d\d|\d{9,13}\b|\d\d:\d\d:\d\d|\[?\d\d?/\w{3}/|(?:DEBUG|INFO|WARN|ERROR|FATAL|TRACE)\b|0x[0-9a-f]+\b|[0-9a-f]{8}\s)")
 _CODE = re.compile(r"[{}]\s*$|[=)\]]\S*;\s*$|^\s*(?:def |func |fn |pub |class |import |from \S+ import|return\b|if \(|for \(|while \(|const |let |var |void |int |char |bool |public |private |static |#include|@\w+$)|\w\(.*\)\s*(?:->.*)?[:{;]?\s*$|^\s{4,}\S.*[)=:]$|=>|&&|\|\||==|:=|->")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])")
+_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|\s+(?=[㐀-鿿])")
+_DASH = re.compile(r"\s+-\s+")
+_CAPITAL = re.compile(r"(?<=[^\W\dA-Z])\s+(?=[A-Z][a-z]*\s+[a-z])")
+_WORDLIKE = re.compile(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+|\w*_\w*|(?:[A-Z][a-z]+){2,}|[a-z]+(?:[A-Z][a-z]+)+")
+_STOP = re.compile(r"[.!?…](?:\s|$)|[。！？]")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-’‘“”«»…。，！？、：；]")
 _END = (".", "!", "?", "…", "。", "！", "？", ":", ";", '."', '!"', '?"')
 
@@ -64,16 +68,22 @@ class Judge:
             return sum(s.count(w) for w in self.han_common) >= 1 and len(set(s)) > 5
         words = _TOKEN.findall(s)
         n = len(words)
-        if n < MIN_WORDS or n > 150:
+        if n < MIN_WORDS or n > 150 or (n > 45 and not s.endswith((".", "!", "?", "…"))):
             return False
-        first = s.lstrip("\"'«“‘([¿¡*_ ")[:1]
-        if not (first.isupper() or first.isdigit()) and not re.match(r"\w*(?:_|[a-z][A-Z])\w", s.lstrip("\"'«“‘([¿¡*_ ")):
+        begin = s.lstrip("\"'«“‘([¿¡*_ ")
+        first, closed = begin[:1], s.endswith((".", "!", "?", "…")) and not s.endswith("..")
+        proper = first.isupper() or first.isdigit() or re.match(r"\w*(?:_|[a-z][A-Z])\w", begin) is not None
+        if not proper and not (closed and LOWER_WORDS <= n <= 60):
             return False
         low = [w.lower() for w in words]
         share = sum(w in self.function or w.partition("'")[2] in self.function or w.partition("'")[0] + "'" in ("l'", "d'", "qu'", "n'", "c'", "s'") for w in low) / n
         if share > COMMON_HIGH:
             return False
-        if share < COMMON_LOW and not (n > MIN_WORDS and s.endswith((".", "!", "?")) and not s.endswith("..") and first.isupper()):
+        if share < COMMON_LOW and sum(_WORDLIKE.fullmatch(w) is not None for w in words) < 0.8 * n:
+            return False
+        if share < COMMON_LOW and not (first.isupper() and n > MIN_WORDS + (0 if closed else 2)):
+            return False
+        if not proper and not 0.2 <= share <= 0.66:
             return False
         if len(_SYMBOL.findall(s)) > 0.05 * len(s) or s.count(",") > 0.4 * n:
             return False
@@ -95,22 +105,24 @@ class Judge:
             marked = 0
 
         lines = text.split("\n")
-        fenced = False
+        fenced = code = False
         for k, line in enumerate(lines):
             s = line.strip()
             if s.startswith(("```", "~~~")):
-                fenced = not fenced
+                # a mark after code that was never opened closes it, as does one before a sentence
+                fenced = not fenced and not code and not self._reads(lines, k + 1)
                 close()
+                code = False
                 continue
             if not s:
                 close()
                 if fenced:  # a listing that was cut off before its closing mark
-                    after = next((x.strip() for x in lines[k + 1 :] if x.strip()), "")
-                    fenced = not (after[:1].isupper() and after.count(" ") >= 4 and not _CODE.search(after))
+                    fenced = not self._reads(lines, k + 1)
                 continue
             if fenced:
                 continue
-            if (_LIST.match(s) and not line.startswith(" * ")) or _LOG.match(s) or _TABLE.search(s) or _CODE.search(s):
+            code = _CODE.search(s) is not None
+            if (_LIST.match(s) and not line.startswith(" * ")) or _LOG.match(s) or _TABLE.search(s) or code:
                 close()
                 continue
             m = _QUOTE.match(s)
@@ -123,6 +135,14 @@ class Judge:
         # the same sentence over and over is debris, however well it reads
         return sum(c * (len(s) + 1) for s, c in counts.items() if (c < 3 or c * len(s) * 4 < len(text)) and self.sentence_runs(s))
 
+    @staticmethod
+    def _reads(lines: list[str], k: int) -> bool:
+        """Whether the next line with text looks like a sentence."""
+        after = ""
+        while k < len(lines) and not after:
+            after, k = lines[k].strip(), k + 1
+        return (after[:1].isupper() and after.count(" ") >= 4 or len(_HAN.findall(after)) >= MIN_HAN) and not _CODE.search(after)
+
     def _cut(self, lines: list[str], marked: int, out: list[str]) -> None:
         if marked == len(lines) and marked > 1:
             ends = sum(l.endswith((",", ";", ".", ")")) for l in lines)
@@ -130,6 +150,8 @@ class Judge:
                 return
         if len(lines) >= 3 and sum(l.count(" ") + 1 for l in lines) < 6.5 * len(lines) and sum(l[:1].isupper() for l in lines) > 0.8 * len(lines):
             return  # entries without marks, one per line
+        if len(lines) >= 4 and sum(l.count(" ") + 1 for l in lines) < 6.5 * len(lines) and not any(_STOP.search(l) for l in lines):
+            return  # short lines without any full stop: entries or shreds
         run = ""
         for k, l in enumerate(lines):
             if run and (l[:1].isupper() or l[:1].isdigit()) and not run.endswith(_END):
@@ -141,13 +163,19 @@ class Judge:
                     continue
             run = f"{run} {l}" if run else l
         for s in _SPLIT.split(run):
-            if s and s.strip():
-                out.append(s.strip())
+            s = s.strip() if s else ""
+            if s.count(" ") > 45 and not s.endswith((".", "!", "?", "…")):
+                # sentences that lost their marks: dashes stand for them, or a capital after a small word
+                out.extend(x for x in (_DASH if " - " in s else _CAPITAL).split(s) if x)
+            elif s:
+                out.append(s)
 
     @staticmethod
     def _wrapped(lines: list[str]) -> bool:
         most = max(map(len, lines))
         body = lines[:-1]
+        if sum(l[:1].isupper() or l[:1].isdigit() for l in lines) > 0.85 * len(lines):
+            return False  # every line begins a sentence
         return len(body) >= 2 and most <= 100 and sum(len(l) > 0.72 * most for l in body) > 0.8 * len(body)
 
     def statistics(self, text: str | None) -> tuple:

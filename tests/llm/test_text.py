@@ -89,6 +89,12 @@ CASES = {
     "table": ("| kind | size |\n| --- | --- |\n| all of it | 3 |", False), "code": ("def f(x):\n    if x is None:\n    raise ValueError(x)\n    return g(x)", False),
     "log": ("2024-03-04T05:45:49Z DEBUG [a-19] throttle the queue of the worker\n" * 4, False), "salad": ("of voucher by was pending then palette all if are be were dense its which on of were", False),
     "repeated": ("You are not logged in here yet.\n" * 30, False), "rule": ("=" * 400 + "sentence", False), "hex": ("00000000  33 a4 e5 c3 a0 43 f3 c7", False),
+    "glossary": ("Open points\nwidget (cursor and the passenger),\npassenger (the canvas of the schema),\nfirmware (not in the cursor),\nconfig (when it is nested),", False),
+    "base64": ("W8/6gepbR7BwmuKe7Ovos8Crqas4fck8xlTYTuss0vdTosyIxYRGYoAhEbSn6MWmlga7jStIJhwy\nPzTFsm6bsTk3VTYVAXJ92WF3gwXcHHl4nrP5Rh5mlVi7GXEzAx9/cYsCSiD0061ComduLo11Iqjb\n" * 3, False),
+    "lower case": ("wir haben den treiber in mertova neu gebaut,\nweil der langsame dienst nicht mehr gezählt\nwurde. der index wurde übersprungen, bevor der\naufruf die gesperrte liste erreicht hat.", True),
+    "stray fence": ("The graph shows that the parser keeps every tensor.\n    char * f(const char *s) {\n    return g(s);\n}\n```\nNobody expects a record to be stale, yet the editor reads it twice, and all of it is kept.\nThe fix is to read it once before the release of the next version.", True),
+    "quoted": ("| Without the heap a reader cannot tell whether it was\n| upgraded or only secondary. Given a worker,\n| explain how it is read by all of them from the editor.", True),
+    "dashes": ("Given The Coroutines And A Widget - Explain How The Iterator Rotates Each Of Them On A Cache - " * 2 + "Does It Really Traverse The Timer - Or Is The Anomaly Only Probed In The Second Pass", True),
     "fragments": ("are atomic because the config\nunder heavy load this is how\nnobody annotates it the old code\nonly in batches that template", False),
 }
 
