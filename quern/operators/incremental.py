@@ -34,8 +34,8 @@ def latest_by(df: DataFrame, key: str, *order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in (key, *order)]
     orderable = [c for c in rest if not df.schema[c].dataType.typeName().startswith(("map", "variant"))]
     packed = F.struct(*[F.col(f"`{c}`") for c in (*order, *orderable)])
-    best = df.groupBy(F.col(f"`{key}`").alias(key)).agg(F.max(packed).alias("_best"))
-    return best.select(F.col(f"`{key}`"), *[F.col("_best").getField(c).alias(c) for c in (*order, *orderable)]).select(
+    best = df.groupBy(F.col(f"`{key}`").alias(key)).agg(F.max(packed).alias("__q_best"))
+    return best.select(F.col(f"`{key}`"), *[F.col("__q_best").getField(c).alias(c) for c in (*order, *orderable)]).select(
         *[f"`{c}`" for c in df.columns if c in (key, *order, *orderable)]
     )
 
@@ -43,10 +43,10 @@ def latest_by(df: DataFrame, key: str, *order: str) -> DataFrame:
 def changed_records(current: DataFrame, state: DataFrame, key: str, content_hash: str = "content_hash") -> DataFrame:
     """Rows of ``current`` (one per key) whose hash is absent from, or differs from, ``state(key, hash)``."""
     known = state.select(
-        F.col(f"`{key}`").alias("_k"), normal_hash(F.col(f"`{content_hash}`")).alias("_h"), F.lit(True).alias("_known")
+        F.col(f"`{key}`").alias("__q_k"), normal_hash(F.col(f"`{content_hash}`")).alias("__q_h"), F.lit(True).alias("__q_known")
     )
-    joined = current.join(known, F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left")
-    fresh = F.col("_known").isNull() | ~normal_hash(F.col(f"`{content_hash}`")).eqNullSafe(F.col("_h"))
+    joined = current.join(known, F.col(f"`{key}`").eqNullSafe(F.col("__q_k")), "left")
+    fresh = F.col("__q_known").isNull() | ~normal_hash(F.col(f"`{content_hash}`")).eqNullSafe(F.col("__q_h"))
     return joined.where(fresh).select(*[f"`{c}`" for c in current.columns])
 
 
@@ -125,8 +125,8 @@ class StateStore:
         """
         rows = current.select(F.col(f"`{self.key}`").cast("string").alias(self.key), normal_hash(F.col(f"`{content_hash}`")).alias("content_hash"))
         if keep_missing and self.pointer.current() is not None:
-            here = rows.select(F.col(f"`{self.key}`").alias("_k"))
-            gone = self.load().join(here, F.col(f"`{self.key}`").eqNullSafe(F.col("_k")), "left_anti")
+            here = rows.select(F.col(f"`{self.key}`").alias("__q_k"))
+            gone = self.load().join(here, F.col(f"`{self.key}`").eqNullSafe(F.col("__q_k")), "left_anti")
             rows = rows.unionByName(gone)
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.pointer.root}/{version}")

@@ -64,16 +64,16 @@ def plan_loads(rows: DataFrame, keys: list[str], tasks: int | None = None, large
     tasks = tasks or shuffle_width(rows.sparkSession)
     large_share = large_share or 1.0 / (2 * tasks)
     plan = LoadPlan(keys, tasks, 0, [])
-    counts = rows.groupBy(plan.hash().alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(plan.hash().alias("__q_h")).agg(F.count(F.lit(1)).alias("__q_n"))
     # Per slot: its load and the keys that may be large. A key above large_share of all rows is above
     # large_share of its slot, so each slot keeps few of them whatever the number of keys.
     counts = cut(counts)
-    plan.total = counts.agg(F.sum("_n")).first()[0] or 0
+    plan.total = counts.agg(F.sum("__q_n")).first()[0] or 0
     limit = max(1.0, plan.total * large_share)
-    large = [(r._n, r._h) for r in counts.where(F.col("_n") > limit).orderBy(F.desc("_n"), "_h").limit(int(1 / large_share) + 1).collect()]
+    large = [(r["__q_n"], r["__q_h"]) for r in counts.where(F.col("__q_n") > limit).orderBy(F.desc("__q_n"), "__q_h").limit(int(1 / large_share) + 1).collect()]
     slots = {
         r.s: r.n
-        for r in counts.where(F.col("_n") <= limit).groupBy(F.pmod("_h", F.lit(SLOTS)).alias("s")).agg(F.sum("_n").alias("n")).collect()
+        for r in counts.where(F.col("__q_n") <= limit).groupBy(F.pmod("__q_h", F.lit(SLOTS)).alias("s")).agg(F.sum("__q_n").alias("n")).collect()
     }
     fair = max(1.0, plan.total / tasks)
     pieces: list[tuple[float, str, int]] = [(n, "slot", s) for s, n in slots.items()]
@@ -94,8 +94,8 @@ def plan_loads(rows: DataFrame, keys: list[str], tasks: int | None = None, large
 
 def place(rows: DataFrame, plan: LoadPlan, spread: Column) -> DataFrame:
     """Rows with ``_shard``, in the partition the plan names."""
-    out = rows.withColumn("_shard", plan.shard(spread)).withColumn("_bin", plan.bin(F.col("_shard")))
-    return out.repartitionById(plan.tasks, F.col("_bin")).drop("_bin")
+    out = rows.withColumn("__q_shard", plan.shard(spread)).withColumn("__q_bin", plan.bin(F.col("__q_shard")))
+    return out.repartitionById(plan.tasks, F.col("__q_bin")).drop("__q_bin")
 
 
 def per_key_counts(rows: DataFrame, plan: LoadPlan, distinct: str) -> DataFrame:
@@ -104,11 +104,11 @@ def per_key_counts(rows: DataFrame, plan: LoadPlan, distinct: str) -> DataFrame:
     Shards of a large key are cut by the distinct column, so shard results add up.
     """
     keys = [F.col(f"`{k}`") for k in plan.keys]
-    placed = place(rows.select(*keys, F.col(f"`{distinct}`").alias("_v")), plan, F.col("_v"))
+    placed = place(rows.select(*keys, F.col(f"`{distinct}`").alias("__q_v")), plan, F.col("__q_v"))
     # One row per (key, shard, value) first, within the bin: then both counts are plain sums.
-    each = placed.groupBy(*keys, "_shard", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    shard = each.groupBy(*keys, "_shard").agg(F.sum("_n").alias("_n"), F.count("_v").alias("_d"))
-    return shard.groupBy(*keys).agg(F.sum("_n").alias("calls"), F.sum("_d").alias("distinct_" + distinct))
+    each = placed.groupBy(*keys, "__q_shard", "__q_v").agg(F.count(F.lit(1)).alias("__q_n"))
+    shard = each.groupBy(*keys, "__q_shard").agg(F.sum("__q_n").alias("__q_n"), F.count("__q_v").alias("__q_d"))
+    return shard.groupBy(*keys).agg(F.sum("__q_n").alias("calls"), F.sum("__q_d").alias("distinct_" + distinct))
 
 
 def balanced_join(left: DataFrame, right: DataFrame, plan: LoadPlan, spread: Column, how: str = "left") -> DataFrame:
@@ -116,15 +116,15 @@ def balanced_join(left: DataFrame, right: DataFrame, plan: LoadPlan, spread: Col
 
     Keys match null-safe. ``right`` columns that clash with left ones are dropped.
     """
-    keyed = left.withColumn("_shard", plan.shard(spread))
+    keyed = left.withColumn("__q_shard", plan.shard(spread))
     copies = right.select(
-        *[F.col(f"`{k}`").alias(f"_r{i}") for i, k in enumerate(plan.keys)],
+        *[F.col(f"`{k}`").alias(f"__q_r{i}") for i, k in enumerate(plan.keys)],
         *[F.col(f"`{c}`") for c in right.columns if c not in left.columns and c not in plan.keys],
-        F.explode(F.sequence(F.lit(0), plan.shard_count() - 1)).alias("_rs"),
+        F.explode(F.sequence(F.lit(0), plan.shard_count() - 1)).alias("__q_rs"),
     )
-    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(plan.keys)]
-    joined = keyed.join(copies, [*on, F.col("_shard") == F.col("_rs")], how)
-    return joined.drop("_shard", "_rs", *[f"_r{i}" for i in range(len(plan.keys))])
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__q_r{i}")) for i, k in enumerate(plan.keys)]
+    joined = keyed.join(copies, [*on, F.col("__q_shard") == F.col("__q_rs")], how)
+    return joined.drop("__q_shard", "__q_rs", *[f"__q_r{i}" for i in range(len(plan.keys))])
 
 
 def heavy_keys(rows: DataFrame, key: str, share: float = 0.01) -> list:
@@ -138,12 +138,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, right_key: str, hea
     """Left join where the ``heavy`` keys (a bounded list) are spread over ``salts`` partitions and null keys over all."""
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
-    lk = left.withColumn("_null", F.col(key).isNull()).withColumn(
-        "_salt", F.when(F.col("_null"), F.xxhash64(spread)).when(is_heavy, salt.cast("long")).otherwise(F.lit(0).cast("long"))
+    lk = left.withColumn("__q_null", F.col(key).isNull()).withColumn(
+        "__q_salt", F.when(F.col("__q_null"), F.xxhash64(spread)).when(is_heavy, salt.cast("long")).otherwise(F.lit(0).cast("long"))
     )
-    lk = lk.withColumn("_key", F.coalesce(F.col(key), F.col("_salt").cast(left.schema[key].dataType)))
+    lk = lk.withColumn("__q_key", F.coalesce(F.col(key), F.col("__q_salt").cast(left.schema[key].dataType)))
     zero = F.array(F.lit(0).cast("long"))
     copies = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    rk = right.withColumn("_rsalt", F.explode(F.when(F.col(right_key).isin(heavy), copies).otherwise(zero) if heavy else zero))
-    joined = lk.join(rk, (~lk["_null"]) & (lk["_key"] == rk[right_key]) & (lk["_salt"] == rk["_rsalt"]), "left")
-    return joined.drop("_null", "_salt", "_key", "_rsalt")
+    rk = right.withColumn("__q_rsalt", F.explode(F.when(F.col(right_key).isin(heavy), copies).otherwise(zero) if heavy else zero))
+    joined = lk.join(rk, (~lk["__q_null"]) & (lk["__q_key"] == rk[right_key]) & (lk["__q_salt"] == rk["__q_rsalt"]), "left")
+    return joined.drop("__q_null", "__q_salt", "__q_key", "__q_rsalt")

@@ -36,6 +36,15 @@ def test_changed_records(spark):
     assert found(spark, [], ledger, runs) == []
 
 
+def test_clashing_columns(spark):
+    current = spark.createDataFrame([("a", "1", 5, "x", 1), ("b", "2", 6, "y", 2)], "path string, content_hash string, _k int, _known string, _shard int")
+    state = spark.createDataFrame([("a", "1", 0), ("b", "0", 0)], "path string, content_hash string, _k int")
+    assert [tuple(r) for r in I.changed_records(current, state, "path").collect()] == [("b", "2", 6, "y", 2)]
+    plan = S.plan_loads(current, ["path"], 2)
+    other = spark.createDataFrame([("a", 9, "w")], "path string, _shard int, _rs string")
+    assert S.balanced_join(current, other, plan, F.col("_k")).where("_rs = 'w'").count() == 1
+
+
 def test_state_store_is_exactly_once(spark, tmp_path):
     store = I.StateStore(spark, str(tmp_path), "path")
     one = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content_hash string")
