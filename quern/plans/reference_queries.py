@@ -107,12 +107,12 @@ def q4_file_symbols(t):
 
 @query(_with(_S, _F) + f"SELECT {_SHORT} FROM s WHERE file_id IN (SELECT id FROM f WHERE relative_path = 'core/runtime_base/src/settings.py')")
 def q5_path_symbols(t):
-    return lookup.symbols_of_path(t.symbols(), t.files(), "core/runtime_base/src/settings.py").select(*SHORT)
+    return lookup.symbols_of_path(t.symbols(), t.files("id"), "core/runtime_base/src/settings.py").select(*SHORT)
 
 
 @query(_with(_S, _F) + f"SELECT {_SHORT} FROM s WHERE file_id = (SELECT id FROM f WHERE ends_with(relative_path, '.rs') ORDER BY relative_path, id LIMIT 1)")
 def q6_path_end_symbols(t):
-    return lookup.symbols_of_path_end(t.symbols(), t.files(), ".rs").select(*SHORT)
+    return lookup.symbols_of_path_end(t.symbols(), t.files("id"), ".rs").select(*SHORT)
 
 
 @query(_with(_S) + f"SELECT {_SHORT} FROM s WHERE kind = 'interface'")
@@ -199,7 +199,7 @@ def j7_with_paths(t):
 @query(_with(_R, _S, _F) + """SELECT g.id AS target_id, g.qualified_name AS target, a.name AS source, a.kind AS source_kind, r.kind AS relation_kind, coalesce(f.relative_path, '') AS file_path, r.line, r.id AS relation_id
 FROM r JOIN s g ON r.target_symbol_id = g.id JOIN s a ON r.source_symbol_id = a.id LEFT JOIN f ON r.file_id = f.id WHERE g.name ILIKE 'get_setting'""")
 def j8_references(t):
-    return relational.references(t.relations(), t.symbols(), t.files(), lookup.like(F.col("name"), "get_setting"))
+    return relational.references(t.relations(), t.symbols(), t.files("id"), lookup.like(F.col("name"), "get_setting"))
 
 
 @query(_with(_R, _S) + """SELECT r.id AS relation_id, s.id AS symbol_id, s.name, s.qualified_name, s.kind AS symbol_kind, s.file_id, s.start_line FROM r JOIN s ON r.source_symbol_id = s.id
@@ -423,7 +423,7 @@ SELECT b.id, s.name, s.qualified_name, s.kind, coalesce(f.relative_path, '') AS
 def h1_hybrid(t):
     v = t.vectors()
     q = v.orderBy("symbol_id").first().vector
-    found = vector.hybrid_search(t.texts(), t.files(), v, "semaphore lock", q, 20)
+    found = vector.hybrid_search(t.texts(), t.files("id"), v, "semaphore lock", q, 20)
     return found.withColumn("score", F.round("score", 6))
 
 
