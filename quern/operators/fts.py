@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 COLUMNS = ("name", "qualified_name", "signature", "doc_comment", "body_snippet")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -303,6 +305,7 @@ def rank_rows(rows: DataFrame, query: str, id: str = "id", columns: tuple[str, .
         *[p.frequency(cols).alias(f"_f{k}") for k, p in enumerate(phrases)],
         *[(p.count(cols) > 0).alias(f"_d{k}") for k, p in enumerate(phrases)],
     )
+    counted = cut(counted)  # a few numbers per row; the texts are read and cut into tokens once
     s = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("len"), *[F.count_if(F.col(f"_d{k}")).alias(f"d{k}") for k in range(len(phrases))]).first()
     n, mean = s["n"], (s["len"] or 0) / s["n"] if s["n"] else 0.0
     score = F.lit(0.0)
