@@ -3,8 +3,10 @@
 Every partition builds cluster features (count, linear sum, least similarity to the centre) in one pass;
 leaves are merged tree-wise: first with leaves that share a coarse cross-polytope hash, then along links
 found with many finer ones.  Linked leaves are agglomerated by Ward's criterion as long as the merged
-centre keeps its members together, and every vector is assigned once, through its leaf.  The defining
-condition (every two members reach the threshold) is then verified exactly, in blocks of bounded size.
+centre keeps its members together, and every vector is assigned once, through its leaf.  Within these
+groups all vectors are compared exactly, in blocks of bounded size: a cluster is a set of vectors that have
+just each other as similar vectors, so groups that hold more than one cluster come apart again.
+Vectors outside the group are not looked at.
 
 Only leaf summaries travel between tasks; a group of similar vectors, however large, is reduced to few
 leaves per partition before anything is shuffled.  Links between leaves are found by hashing, so the
@@ -314,6 +316,56 @@ def ward_in_chunks(counts: np.ndarray, sums: np.ndarray, chunk: int = 4096) -> n
             return group
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each id (splitmix64)."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _same_neighbours(rows: DataFrame, dim: int, least: int) -> DataFrame:
+    """(cluster_id, id) of vectors whose similar vectors are the same as those of each of these.
+
+    Compared is within ``grp``, exactly, in blocks: every pair of shards of a group meets once. Per vector its
+    similar vectors are told by their number, least id and the exclusive or of their hashes.
+    """
+    totals = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    sharded = rows.join(totals, "grp").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
+    sharded = sharded.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    blocks = sharded.select("id", "v", "grp", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("_o")).select(
+        "id", "v", "grp", F.least("shard", "_o").alias("_i"), F.greatest("shard", "_o").alias("_j"), "shard"
+    )
+
+    def check(table: pa.Table) -> pa.Table:
+        i, j = (table[c][0].as_py() for c in ("_i", "_j"))
+        x, shard, ids = _matrix(table["v"], dim, np.float64), table["shard"].to_numpy(), table["id"].to_numpy()
+        hashes = _mixed(ids)
+        count, low, sig = np.zeros(len(ids), np.int64), np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+
+        def note(at: np.ndarray, of: np.ndarray, near: np.ndarray) -> None:
+            count[at] += near.sum(axis=1)
+            low[at] = np.minimum(low[at], np.where(near, ids[of], np.iinfo(np.int64).max).min(axis=1))
+            sig[at] ^= np.bitwise_xor.reduce(np.where(near, hashes[of], 0), axis=1)
+
+        a, b = np.nonzero(shard == i)[0], np.nonzero(shard == j)[0]
+        for lo in range(0, len(a), 512):
+            part = a[lo : lo + 512]
+            if len(b):
+                near = x[part] @ x[b].T >= THRESHOLD - 1e-6
+                note(part, b, near)
+                if i != j:
+                    note(b, part, near.T)
+        some = count > 0
+        return pa.table({"id": ids[some], "n": count[some], "low": low[some], "sig": sig[some]})
+
+    kind = "id long, n long, low long, sig long"
+    sets = blocks.groupBy("grp", "_i", "_j").applyInArrow(check, kind).groupBy("id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.bit_xor("sig").alias("sig"))
+    sets = cut(sets.where(F.col("n") >= least))
+    whole = sets.groupBy("low", "n", "sig").agg(F.count(F.lit(1)).alias("_n")).where("_n = n").select("low", "n", "sig")
+    return sets.join(whole, ["low", "n", "sig"]).select(F.col("low").alias("cluster_id"), "id")
+
+
 def clusters(vectors: DataFrame, dim: int = 64, least: int = 3, id: str = "symbol_id", vector: str = "vector") -> DataFrame:
     """(cluster_id, id, similarity to the centre) of every member of a cluster."""
     assigned, first = _leaves(unit_vectors(vectors, dim, id, vector), dim)
@@ -334,33 +386,15 @@ def clusters(vectors: DataFrame, dim: int = 64, least: int = 3, id: str = "symbo
 
     grouped = joined.groupBy("comp").applyInArrow(lambda t: agglomerate(t.select(["leaf", "count", "sums"])), "leaf long, grp long, count long, sums array<double>")
     final = cut(grouped.unionByName(alone))
-    sizes = final.groupBy("grp").agg(F.sum("count").alias("n"), F.array(*[F.sum(F.col("sums")[k]) for k in range(dim)]).alias("sums")).where(F.col("n") >= least)
-    # One assignment pass: vector -> leaf -> merged leaf -> group, then its similarity to the centre.
-    way = into.join(final.select(F.col("leaf").alias("into"), "grp"), "into").join(sizes, "grp").select("leaf", "grp", "n", "sums")
-    members = cut(assigned.join(way, "leaf").select("id", "v", "grp", "n", "sums"))
-    members = members.withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
-    members = members.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    # Exact verification in blocks: every pair of shards of a group meets once.
-    blocks = members.select("id", "v", "grp", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("_o")).select(
-        "id", "v", "grp", F.least("shard", "_o").alias("_i"), F.greatest("shard", "_o").alias("_j"), "shard"
-    )
-
-    def check(table: pa.Table) -> pa.Table:
-        grp, i, j = (table[c][0].as_py() for c in ("grp", "_i", "_j"))
-        x, shard = _matrix(table["v"], dim, np.float64), table["shard"].to_numpy()
-        a = x[shard == i]
-        b = a if i == j else x[shard == j]
-        low = 1.0
-        for lo in range(0, len(a), 1024):
-            if len(b):
-                low = min(low, float((a[lo : lo + 1024] @ b.T).min()))
-        return pa.table({"grp": [grp], "low": [low]})
-
-    sound = blocks.groupBy("grp", "_i", "_j").applyInArrow(check, "grp long, low double").groupBy("grp").agg(F.min("low").alias("low"))
-    named = members.groupBy("grp").agg(F.min("id").alias("cluster_id")).join(sound.where(F.col("low") >= THRESHOLD - 1e-6), "grp")
+    # One assignment pass: vector -> leaf -> merged leaf -> group. Groups only say which vectors to compare.
+    way = into.join(final.select(F.col("leaf").alias("into"), "grp"), "into").select("leaf", "grp")
+    members = cut(assigned.join(way, "leaf").select("id", "v", "grp"))
+    same = _same_neighbours(members, dim, least)
+    found = cut(members.join(same, "id").select("cluster_id", "id", "v"))
+    centres = found.groupBy("cluster_id").agg(F.array(*[F.sum(F.col("v")[k].cast("double")) for k in range(dim)]).alias("sums"))
     dot = F.aggregate(F.zip_with("v", "sums", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda s, x: s + x * x))
-    return members.join(named, "grp").select("cluster_id", F.col("id").alias(id), (dot / norm).alias("similarity"))
+    return found.join(centres, "cluster_id").select("cluster_id", F.col("id").alias(id), (dot / norm).alias("similarity"))
 
 
 def describe(members: DataFrame, id: str = "symbol_id", typical: int = TYPICAL) -> DataFrame:

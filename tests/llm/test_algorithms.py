@@ -64,6 +64,31 @@ def test_clusters_match_brute_force(spark, monkeypatch):
     assert C.clusters(df.limit(0)).count() == 0
 
 
+def from_cosines(gram, dim=64, seed=8):
+    """Vectors with the given cosines."""
+    x = np.linalg.cholesky(np.array(gram) + np.eye(len(gram)) * 1e-12)
+    return np.pad(x, ((0, 0), (0, dim - len(gram)))) @ C.rotations(dim, 1, seed)[0]
+
+
+def found_and_wanted(spark, vectors):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "symbol_id long, vector array<float>").repartition(3)
+    return {(r.cluster_id, r.symbol_id) for r in C.clusters(df).collect()}, brute_clusters(vectors)
+
+
+def test_merged_groups_are_split_again(spark):
+    """Groups whose centres are close, though no member of one is similar to a member of the other."""
+    gram = np.full((4, 4), 0.82)
+    gram[3, :3] = gram[:3, 3] = 0.78
+    np.fill_diagonal(gram, 1)
+    vectors = dict(enumerate(from_cosines(gram)))
+    two = np.full((24, 24), 0.75)
+    two[:12, :12] = two[12:, 12:] = 0.82
+    np.fill_diagonal(two, 1)
+    vectors |= {100 + k: v for k, v in enumerate(from_cosines(two, seed=9))}
+    got, want = found_and_wanted(spark, vectors)
+    assert got == want and {c for c, _ in want} == {0, 100, 112}
+
+
 def test_link_recall():
     """Two leaves of one cluster share a hash bucket: recall at and above the threshold."""
     rng = np.random.default_rng(1)
