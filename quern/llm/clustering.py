@@ -3,10 +3,12 @@
 Every partition builds cluster features (count, linear sum, least similarity to the centre) in one pass;
 leaves are merged tree-wise: first with leaves that share a coarse cross-polytope hash, then along links
 found with many finer ones.  Linked leaves are agglomerated by Ward's criterion as long as the merged
-centre keeps its members together, and every vector is assigned once, through its leaf.  Within these
-groups all vectors are compared exactly, in blocks of bounded size: a cluster is a set of vectors that have
-just each other as similar vectors, so groups that hold more than one cluster come apart again.
-Vectors outside the group are not looked at.
+centre keeps its members together, and every vector is assigned once, through its leaf.
+
+The groups only say which vectors to compare; the result does not depend on them.  Every vector is held against
+the centre of every group and visits the groups that could hold a vector similar to it, by the angle to the
+centre and that of the farthest member.  Members and visitors of a group are then compared exactly, in blocks of
+bounded size: a cluster is a set of vectors that have just each other as similar vectors in the whole table.
 
 Only leaf summaries travel between tasks; a group of similar vectors, however large, is reduced to few
 leaves per partition before anything is shuffled.  Links between leaves are found by hashing, so the
@@ -31,8 +33,10 @@ from quern.session import cut, shuffle_width
 
 #: Similarity of members; similarity of a leaf to its members; link between leaf centres; hash tables of two rotations.
 THRESHOLD, LEAF, LINK, TABLES = 0.8, 0.9, 0.76, 28
-#: Members compared in one block of the verification; typical members reported.
-SHARD, TYPICAL = 4096, 3
+#: Members compared in one block of the verification; vectors or centres in one block of the search for visitors; typical members reported.
+SHARD, REACH, TYPICAL = 4096, 16384, 3
+#: Least cosine that counts as similar, rounding included.
+SIMILAR = THRESHOLD - 1e-6
 
 
 def rotations(dim: int, count: int, seed: int = 5) -> np.ndarray:
@@ -316,31 +320,58 @@ def ward_in_chunks(counts: np.ndarray, sums: np.ndarray, chunk: int = 4096) -> n
             return group
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each id (splitmix64)."""
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+def _visits(members: DataFrame, groups: DataFrame, dim: int) -> DataFrame:
+    """(id, v, grp): vectors and the other groups that could hold vectors similar to them.
+
+    A vector similar to a member is no farther from the centre than the member and the angle of similarity
+    together. Of two groups the wider one visits the narrower one; so every similar pair of different groups
+    meets, once. Blocks of vectors are held against blocks of centres.
+    """
+    rows, cols = (max(1, -(-df.count() // REACH)) for df in (members, groups))
+    low = groups.select("grp", "low")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vectors = members.join(low, "grp").select("id", "v", "grp", "low", deal("id", rows).alias("_i"), every(cols).alias("_j"))
+    centres = groups.select(F.lit(None).cast("long").alias("id"), F.col("centre").alias("v"), "grp", "low", every(rows).alias("_i"), deal("grp", cols).alias("_j"))
+
+    def reach(table: pa.Table) -> pa.Table:
+        x, grp, low = _matrix(table["v"], dim), table["grp"].to_numpy(), table["low"].to_numpy()
+        centre = table["id"].is_null().to_numpy()
+        v, c = np.nonzero(~centre)[0], np.nonzero(centre)[0]
+        angle = np.arccos(SIMILAR) + np.arccos(np.clip(low[c] - 1e-6, -1, 1))
+        limit = np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)) - 1e-5, -2)
+        at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(v) if len(c) else 0, 512):
+            part = v[lo : lo + 512]
+            a, b = np.nonzero(x[part] @ x[c].T >= limit)
+            a, b = part[a], c[b]
+            visits = (low[a] < low[b]) | ((low[a] == low[b]) & (grp[a] < grp[b]))
+            at.append(a[visits])
+            to.append(b[visits])
+        at, to = np.concatenate(at), np.concatenate(to)
+        return pa.table({"id": table["id"].take(pa.array(at)), "v": table["v"].take(pa.array(at)), "grp": grp[to]})
+
+    return vectors.unionByName(centres).groupBy("_i", "_j").applyInArrow(reach, "id long, v array<float>, grp long")
 
 
 def _same_neighbours(rows: DataFrame, dim: int, least: int) -> DataFrame:
     """(cluster_id, id) of vectors whose similar vectors are the same as those of each of these.
 
-    Compared is within ``grp``, exactly, in blocks: every pair of shards of a group meets once. Per vector its
-    similar vectors are told by their number, least id and the exclusive or of their hashes.
+    Compared is within ``grp``, exactly, in blocks: every pair of shards of a group meets once. Visitors (not ``own``)
+    are compared with members, not with each other. Per vector its similar vectors are told by their number, least
+    id and the exclusive or of their hashes.
     """
     totals = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
     sharded = rows.join(totals, "grp").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
     sharded = sharded.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    blocks = sharded.select("id", "v", "grp", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("_o")).select(
-        "id", "v", "grp", F.least("shard", "_o").alias("_i"), F.greatest("shard", "_o").alias("_j"), "shard"
+    blocks = sharded.select("id", F.xxhash64("id").alias("hash"), "v", "grp", "own", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("_o")).select(
+        "id", "hash", "v", "grp", "own", F.least("shard", "_o").alias("_i"), F.greatest("shard", "_o").alias("_j"), "shard"
     )
 
     def check(table: pa.Table) -> pa.Table:
         i, j = (table[c][0].as_py() for c in ("_i", "_j"))
         x, shard, ids = _matrix(table["v"], dim, np.float64), table["shard"].to_numpy(), table["id"].to_numpy()
-        hashes = _mixed(ids)
+        own, hashes = table["own"].to_numpy(), table["hash"].to_numpy()
         count, low, sig = np.zeros(len(ids), np.int64), np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
 
         def note(at: np.ndarray, of: np.ndarray, near: np.ndarray) -> None:
@@ -352,7 +383,7 @@ def _same_neighbours(rows: DataFrame, dim: int, least: int) -> DataFrame:
         for lo in range(0, len(a), 512):
             part = a[lo : lo + 512]
             if len(b):
-                near = x[part] @ x[b].T >= THRESHOLD - 1e-6
+                near = (x[part] @ x[b].T >= SIMILAR) & (own[part][:, None] | own[b]) & (ids[part][:, None] != ids[b])
                 note(part, b, near)
                 if i != j:
                     note(b, part, near.T)
@@ -361,6 +392,8 @@ def _same_neighbours(rows: DataFrame, dim: int, least: int) -> DataFrame:
 
     kind = "id long, n long, low long, sig long"
     sets = blocks.groupBy("grp", "_i", "_j").applyInArrow(check, kind).groupBy("id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.bit_xor("sig").alias("sig"))
+    # Every vector is similar to itself.
+    sets = sets.select("id", (F.col("n") + 1).alias("n"), F.least("low", "id").alias("low"), F.col("sig").bitwiseXOR(F.xxhash64("id")).alias("sig"))
     sets = cut(sets.where(F.col("n") >= least))
     whole = sets.groupBy("low", "n", "sig").agg(F.count(F.lit(1)).alias("_n")).where("_n = n").select("low", "n", "sig")
     return sets.join(whole, ["low", "n", "sig"]).select(F.col("low").alias("cluster_id"), "id")
@@ -386,10 +419,21 @@ def clusters(vectors: DataFrame, dim: int = 64, least: int = 3, id: str = "symbo
 
     grouped = joined.groupBy("comp").applyInArrow(lambda t: agglomerate(t.select(["leaf", "count", "sums"])), "leaf long, grp long, count long, sums array<double>")
     final = cut(grouped.unionByName(alone))
-    # One assignment pass: vector -> leaf -> merged leaf -> group. Groups only say which vectors to compare.
+    # One assignment pass: vector -> leaf -> merged leaf -> group.
     way = into.join(final.select(F.col("leaf").alias("into"), "grp"), "into").select("leaf", "grp")
     members = cut(assigned.join(way, "leaf").select("id", "v", "grp"))
-    same = _same_neighbours(members, dim, least)
+    sums = final.groupBy("grp").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(dim)]).alias("sums"))
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, c = (_matrix(batch.column(k), dim, np.float64) for k in (1, 2))
+            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(c.astype(np.float32)), pa.array((x * c).sum(axis=1))], names=["grp", "centre", "low"])
+
+    told = members.join(sums, "grp").select("grp", "v", "sums").mapInArrow(angles, "grp long, centre array<float>, low double")
+    groups = cut(told.groupBy("grp").agg(F.first("centre").alias("centre"), F.min("low").alias("low")))
+    visitors = _visits(members, groups, dim).withColumn("own", F.lit(False))
+    same = _same_neighbours(cut(members.withColumn("own", F.lit(True)).unionByName(visitors)), dim, least)
     found = cut(members.join(same, "id").select("cluster_id", "id", "v"))
     centres = found.groupBy("cluster_id").agg(F.array(*[F.sum(F.col("v")[k].cast("double")) for k in range(dim)]).alias("sums"))
     dot = F.aggregate(F.zip_with("v", "sums", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

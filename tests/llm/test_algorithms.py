@@ -89,6 +89,23 @@ def test_merged_groups_are_split_again(spark):
     assert got == want and {c for c, _ in want} == {0, 100, 112}
 
 
+def test_similar_vectors_outside(spark, monkeypatch):
+    """A vector that is similar to one member alone, and links that no hash table finds."""
+    gram = np.full((4, 4), 0.95)
+    gram[3, :3] = gram[:3, 3] = 0.7
+    gram[3, 0] = gram[0, 3] = 0.81
+    np.fill_diagonal(gram, 1)
+    vectors = dict(enumerate(from_cosines(gram)))
+    rest = np.full((3, 3), 0.81)
+    np.fill_diagonal(rest, 1)
+    vectors |= {100 + k: v for k, v in enumerate(from_cosines(rest, seed=9))}
+    got, want = found_and_wanted(spark, vectors)
+    assert got == want and {c for c, _ in want} == {100}
+    monkeypatch.setattr(C, "REACH", 3)
+    monkeypatch.setattr(C, "_links", lambda leaves, dim: leaves.selectExpr("leaf AS a", "leaf AS b").limit(0))
+    assert found_and_wanted(spark, vectors)[0] == want
+
+
 def test_link_recall():
     """Two leaves of one cluster share a hash bucket: recall at and above the threshold."""
     rng = np.random.default_rng(1)
