@@ -296,7 +296,10 @@ def ward(counts: np.ndarray, sums: np.ndarray, least: float = THRESHOLD) -> np.n
 
 
 def ward_in_chunks(counts: np.ndarray, sums: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """Ward's agglomeration with memory for ``chunk`` squared distances: chunks of like hashes first, then their groups."""
+    """Ward's agglomeration with memory for ``chunk`` squared distances: chunks of like hashes first, then their groups.
+
+    Groups of different chunks may stay apart; their members still meet as visitors (``_visits``).
+    """
     group = np.arange(len(counts))
     bases = rotations(sums.shape[1], 1, seed=3)
     while True:

@@ -106,6 +106,16 @@ def test_similar_vectors_outside(spark, monkeypatch):
     assert found_and_wanted(spark, vectors)[0] == want
 
 
+def test_chunks_do_not_change_clusters(spark, monkeypatch):
+    gram = np.full((12, 12), 0.82)
+    np.fill_diagonal(gram, 1)
+    vectors = dict(enumerate(from_cosines(gram)))
+    whole = C.ward_in_chunks
+    monkeypatch.setattr(C, "ward_in_chunks", lambda counts, sums: whole(counts, sums, 1))
+    got, want = found_and_wanted(spark, vectors)
+    assert got == want and len(want) == 12
+
+
 def test_link_recall():
     """Two leaves of one cluster share a hash bucket: recall at and above the threshold."""
     rng = np.random.default_rng(1)
