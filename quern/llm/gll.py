@@ -18,9 +18,14 @@ MODIFIERS = set("pub async static public private protected final abstract export
 _LEX = re.compile(
     r"(?P<doc>\"\"\"(?:.|\n)*?(?:\"\"\"|\Z)|'''(?:.|\n)*?(?:'''|\Z))"
     r"|(?P<comment>/\*(?:.|\n)*?(?:\*/|\Z)|//[^\n]*|#(?!\[|include|define|if|endif|else|undef|pragma)[^\n]*)"
+    r"|(?P<life>(?<=[&<])'[^\W\d]\w*(?!['\w])|(?<=, )'\w+(?=(?:, ?'\w+)*\s*>)|(?<=\+ )'(?:static|[a-z])\b(?=\s*[>,){]))"
     r"|(?P<string>[rbuf]?\"(?:\\.|[^\"\\\n])*\"?|[rbuf]?'(?:\\.|[^'\\\n])*'?)"
     r"|(?P<word>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<arrow>->|=>|::)|(?P<other>[^\s\w])"
 )
+#: The same for whole files: a comment or string that is never closed ends with its line.
+_RESUMING = re.compile(_LEX.pattern.replace(r"(?:\"\"\"|\Z)", r"\"\"\"|\"\"\"[^\n]*").replace(r"(?:'''|\Z)", r"'''|'''[^\n]*").replace(r"(?:\*/|\Z)", r"\*/|/\*[^\n]*"))
+#: Words before a parenthesis and a brace that open a block, not a method.
+BLOCKS = set("foreach using lock elseif elif unless until guard select fixed when repeat".split())
 
 
 class Token:
@@ -30,10 +35,10 @@ class Token:
         self.kind, self.text, self.at, self.line = kind, text, at, line
 
 
-def lex(source: str) -> list[Token]:
+def lex(source: str, pattern: re.Pattern = _LEX) -> list[Token]:
     """Tokens with their offset and 1-based line; blanks vanish, line ends stay."""
     out, line = [], 1
-    for m in _LEX.finditer(source):
+    for m in pattern.finditer(source):
         out.append(Token(m.lastgroup, m.group(), m.start(), line))
         line += m.group().count("\n")
     return out
@@ -43,7 +48,9 @@ def lex(source: str) -> list[Token]:
 GRAMMAR: dict[str, list[list[str]]] = {
     "Function": [["Mods", "def", "Name", "Generic", "Params", "Result"], ["Mods", "function", "Star", "Name", "Generic", "Params", "Result"],
                  ["Mods", "fn", "Name", "Generic", "Params", "Result"], ["Mods", "func", "Receiver", "Name", "Generic", "Params", "Result"],
-                 ["Mods", "Type", "Name", "Params", "Tail"], ["Mods", "Type", "Owner", "Name", "Params", "Tail"]],
+                 ["Mods", "Type", "Name", "Params", "Tail"], ["Mods", "Type", "Owner", "Name", "Params", "Tail"], ["Method"]],
+    # Constructors, destructors and methods without a type.
+    "Method": [["Mods", "Name", "Generic", "Params", "Tail"], ["Mods", "Owner", "Name", "Params", "Tail"], ["Mods", "Owner", "~", "Name", "Params", "Tail"], ["Mods", "~", "Name", "Params", "Tail"]],
     "Mods": [[], ["Mods", "<modifier>"]],
     "Star": [[], ["*"]],
     "Name": [["<name>"]],
@@ -66,7 +73,7 @@ _TESTS = {
     "<name>": lambda t: t.kind == "word" and t.text not in KEYWORDS and t.text not in MODIFIERS,
     "<modifier>": lambda t: t.kind == "word" and t.text in MODIFIERS,
     "<plain>": lambda t: t.kind in ("word", "number", "string", "line", "arrow", "comment", "doc") or t.text not in "()[]{}",
-    "<outword>": lambda t: t.kind in ("word", "arrow") or t.text in ("<", ">", "[", "]", "&", "*", ",", "'", ".", "|"),
+    "<outword>": lambda t: t.kind in ("word", "arrow", "life") or t.text in ("<", ">", "[", "]", "&", "*", ",", "'", ".", "|"),
     "<doc>": lambda t: t.kind == "doc",
     "<string>": lambda t: t.kind == "string",
     "<line>": lambda t: t.kind == "line",
@@ -163,8 +170,14 @@ def functions(source: str) -> list[dict]:
 
     Each has name, signature, doc (comments right before it, or a string that opens its body), line and body_snippet.
     """
-    tokens = lex(source)
+    tokens = lex(source, _RESUMING)
     lines = source.split("\n")
+    closes, opened = {}, []
+    for n, x in enumerate(tokens):
+        if x.text == "(":
+            opened.append(n)
+        elif x.text == ")" and opened:
+            closes[opened.pop()] = n
     out, k, pending = [], 0, []
     while k < len(tokens):
         t = tokens[k]
@@ -177,32 +190,44 @@ def functions(source: str) -> list[dict]:
                 pending = []
             k += 1
             continue
-        # a function needs a parenthesis soon on the same line; tokens are parsed only up to its close
-        stop, depth, ahead = k, 0, None
-        while stop < len(tokens) and stop - k < 400:
+        starts_line = k == 0 or tokens[k - 1].kind in ("line", "comment") or tokens[k - 1].text in "{};"
+        # a function needs a parenthesis on the same line; tokens are parsed only up to the end of its header
+        stop, ahead = k, None
+        while starts_line and stop < len(tokens):
             x = tokens[stop].text
             if x == "(":
-                depth += 1
                 ahead = True
-            elif x == ")":
-                depth -= 1
-            elif depth == 0 and (x in "{};=" and x or tokens[stop].kind == "line" or (x == ":" and ahead)):
+                if stop not in closes:
+                    break
+                stop = closes[stop]
+            elif x in "{};=" and x or tokens[stop].kind == "line" or (x == ":" and ahead):
                 break
             stop += 1
-        starts_line = k == 0 or tokens[k - 1].kind in ("line", "comment") or tokens[k - 1].text in "{};"
-        if ahead and starts_line and t.kind == "word" and t.text not in KEYWORDS:
+        if ahead and starts_line and (t.kind == "word" and t.text not in KEYWORDS or t.text == "~"):
             part = tokens[k:stop]
             parse = Parse(part, "Function", 0)
             ends = parse.ends.get(("Function", 0))
             end = max(ends) if ends else 0
-            declared = any(x.text in _OPENERS for x in part[:8]) or (stop < len(tokens) and tokens[stop].text == "{")
+            # the brace may stand on a later line, or after a result or a list of initial values
+            brace, result = stop, stop < len(tokens) and tokens[stop].text == ":"
+            while brace < len(tokens) and (tokens[brace].kind in ("line", "comment") or result and tokens[brace].text not in ("{", "}", ";")):
+                brace += 1
+            braced = brace < len(tokens) and tokens[brace].text == "{"
+            declared = any(x.text in _OPENERS for x in part[:8]) or braced
+            method = parse.ends.get(("Method", 0), ())
+            if end in method and not any(x.text in _OPENERS for x in part[:8]):
+                declared = braced and end == len(part) and not any(x.text in BLOCKS for x in part[:1])
             if end and declared:
-                span = parse.spans("Function", 0, end, "Name")
+                span = parse.spans("Function", 0, end, "Name") or parse.spans("Method", 0, end, "Name")
                 if span:
                     last = part[end - 1]
                     signature = source[t.at : last.at + len(last.text)]
                     first = tokens[stop].line if stop < len(tokens) else last.line
+                    if braced and not any(x.text in _OPENERS for x in part[:8]):
+                        first = tokens[brace].line
                     rest = source[last.at + len(last.text) :].lstrip(" \t:{=>")
+                    if rest.lstrip()[:3] in ('"""', "'''") and rest.lstrip().find(rest.lstrip()[:3], 3) < 0:
+                        rest = rest.split("\n\n")[0]  # a string that is never closed
                     doc = "\n".join(x.text for x in pending) or (docstring_of(rest) if t.text == "def" or part[0].text in ("async", "def") else None)
                     body = "\n".join(lines[first : first + 5])
                     out.append({"name": part[span[0]].text, "signature": " ".join(signature.split()), "doc": doc, "line": t.line, "body_snippet": body or None})

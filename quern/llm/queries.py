@@ -21,6 +21,11 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return kept.join(code, "symbol_id")
 
 
+def p1_extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documented functions found in the listings among the documents, broken ones included."""
+    return pairs.extract_pairs(table(spark, sf, "documents").select("doc_id", "text").distinct(), path="doc_id").withColumnRenamed("path", "doc_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.clusters(table(spark, sf, "symbol_vectors")).select("cluster_id", "symbol_id")
 
@@ -55,7 +60,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.document_statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_clusters, p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_extracted, p4_found, p4_clusters, p6_found, p6_matches, p8_ids, p9_found, p10_found, p10_statistics)}
 #: A component is a cluster if all its members have the same neighbours (themselves included) and no others.
 SQL: dict[str, str] = {
     "p4_found": """

@@ -183,3 +183,15 @@ def test_left_recursion_and_ambiguity_end():
     tokens = gll.lex("a a a a")
     p = gll.Parse(tokens, "S", 0, {"S": [["S", "S"], ["a"], []]})
     assert p.ends["S", 0] == {0, 1, 2, 3, 4}
+
+
+FORMS = {
+    "class A {\n  public A(int x) {\n  }\n}": ["A"], "A::A(int x) : m(x) {\n}\nA::~A() {\n}": ["A", "A"], "class B {\n  constructor(x) {\n  }\n  load(a: string): Promise<void> {\n  }\n}": ["constructor", "load"],
+    "int add(int a, int b)\n{\n  return a;\n}": ["add"], "fn first<'a, 'b>(x: &'a str, y: &'b str) -> &'a str {\n}\nfn next(x: u8) {\n}": ["first", "next"], "def wide(" + ", ".join(f"a{k}" for k in range(300)) + "):\n    pass": ["wide"],
+    "/* never closed\nint add(int a) {\n}": ["add"], 'def f(x):\n    """never closed\n\ndef g(y):\n    pass': ["f", "g"], "foreach (x) {\n}\nrun(x);\nif (a) {\n}": [], "def f(a, b\n\ndef g(x):\n    pass": ["g"],
+}
+
+
+@pytest.mark.parametrize("source", FORMS)
+def test_forms_of_functions(source):
+    assert [f["name"] for f in gll.functions(source)] == FORMS[source]
