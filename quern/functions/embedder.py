@@ -34,7 +34,7 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts):
-            words = re.findall(r"[^\W_]+", text.lower())[:MAX_TOKENS]
+            words = re.findall(r"[^\W_]+", text.lower())
             for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
                 h = zlib.crc32(w.encode())
                 row[h % self.dim] += 1.0 if h >> 31 else -1.0

@@ -472,10 +472,10 @@ def s10_delete_files(t):
 
 @query(_with(_S) + "SELECT id AS symbol_id, 1.0::DOUBLE AS norm FROM s WHERE kind NOT IN ('import', 'variable', 'assignment', 'constant')")
 def v6_embed(t):
-    """Hashed vectors of all symbols that get one; their lengths."""
+    """Hashed vectors of all symbols that get one; their lengths and a hash of their content."""
     rows = vector.embeddable(t.texts()).select(F.col("id").alias("symbol_id"), vector.embed_text().alias("text"))
     made = embedder.embed_rows(rows, embedder.HashingEmbedder())
-    return made.select("symbol_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 4).alias("norm"))
+    return made.select("symbol_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 4).alias("norm"), F.xxhash64("vector").alias("content"))
 
 
 @query()

@@ -187,3 +187,11 @@ def test_numbering_and_paths(spark):
     assert all(r.g == r.w for r in got)
     langs = spark.createDataFrame([("x/a.py",), ("b.h",), ("c.PY",), ("d",)], "p string").select(schema.language_of(F.col("p"))).collect()
     assert [r[0] for r in langs] == ["python", "c", "unknown", "unknown"]
+
+
+def test_hashing_embedder_reads_whole_texts():
+    from quern.functions.embedder import HashingEmbedder
+
+    long = " ".join(f"w{k}" for k in range(200))
+    one, two = HashingEmbedder().embed([long, long + " tail"])
+    assert (one != two).any()
