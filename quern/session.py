@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,22 +38,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder; what is written there vanishes as cut tables do."""
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
+    _written.append((spark, at))
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     A written table is compressed and columnar, is computed once, and later reads take only the columns they
-    need. Any executor can read it, so the loss of one costs nothing. Tables vanish when the driver ends.
+    need. Any executor can read it, so the loss of one costs nothing. Tables vanish when the driver ends, or with
+    the ``released`` block they were made in.
     """
     spark = df.sparkSession
-    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
+    at = scratch(spark)
     df.write.parquet(at)
-    _written.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def released():
+    """Tables cut inside the block are removed at its end: for services, whose driver lives on."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[kept:])
+        del _written[kept:]
+
+
 @atexit.register
 def _clear() -> None:
-    for spark, at in _written:
+    _remove(_written)
+
+
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, at in written:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
