@@ -1,30 +1,33 @@
 """Parent-child links to full hierarchies, by nested sets.
 
-Subtree sizes are computed upwards: leaves are peeled off round by round, each passing its size to its
-parent.  In a graph where every node has at most one parent, what can never be peeled is exactly the
-nodes on cycles.  Sizes give every sibling its share of a preorder range (prefix sums), and ranges are
-handed down from the roots, so ``lo <= other.lo < hi`` tells descendants without any recursion.
+Subtree sizes are computed upwards, sizes give every sibling its share of a preorder range (prefix sums), and
+ranges are handed down from the roots, so ``lo <= other.lo < hi`` tells descendants without any recursion.
+Both directions go by pointer doubling: after round k a node knows the sum over its 2^k nearest levels and the
+ancestor 2^k levels up, so a chain of a million nodes takes twenty rounds.  A round in which no node reaches a
+root is the last: what is left then lies on cycles or hangs below one.
 
-Each round is a join of what is left; as soon as no more than ``local_bound`` nodes are left (a fixed
-number, whatever the input), one task finishes them, so that long thin chains cost no round each.
+Leaves take part in neither direction: they are counted for their parent before the first round and read their
+place from it after the last.  Joins on the parent go through ``skew.balanced_join`` and siblings are cut
+into ranges of ids, so a parent of a third of all nodes is no task of its own.
 
 Defined results: exact duplicate rows are one node; of several parents of one id the smallest non-null
 one counts; a parent that is no node makes its child a root; null ids are no nodes; nodes that hang below
-a cycle have no root, depth, path or range but a size; an empty table gives no rows.
+a cycle have no root, depth, path or range but a size; the size of a node on a cycle is that of all that hangs
+on the cycle; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.skew import LoadPlan, balanced_join, plan_loads
 from quern.session import cut
 
-LOCAL_BOUND = 200_000
-SIBLING_BUCKET = 50_000
+#: Preorder positions in one block of the search for descendants.
+BLOCK = 256
+#: Width of the id ranges in which siblings are summed up.
+SIBLINGS = 65_536
 
 
 def clean_links(rows: DataFrame, id: str, parent: str, label: str | None = None) -> DataFrame:
@@ -32,198 +35,158 @@ def clean_links(rows: DataFrame, id: str, parent: str, label: str | None = None)
     picked = rows.select(
         F.col(f"`{id}`").cast("long").alias("id"),
         F.col(f"`{parent}`").cast("long").alias("parent"),
-        (F.col(f"`{label}`") if label else F.col(f"`{id}`")).cast("string").alias("label"),
+        (F.col(f"`{label}`") if label else F.lit(None)).cast("string").alias("label"),
     ).where("id IS NOT NULL")
-    nodes = picked.groupBy("id").agg(F.min("parent").alias("parent"), F.min("label").alias("label"))
-    # Only ids that are somebody's parent need to be looked up: distinct parents against ids, then back.
-    wanted = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("_p")).distinct()
-    there = wanted.join(nodes.select("id"), F.col("_p") == F.col("id"), "left_semi")
-    # children of one hot parent: the lookup is one row per parent, a skew-split join serves it
-    kids = nodes.where("parent IS NOT NULL").join(there, F.col("parent") == F.col("_p"), "left")
-    return nodes.where("parent IS NULL").unionByName(kids.select("id", F.col("_p").alias("parent"), "label"))
-
-
-def _ints(column) -> tuple[np.ndarray, np.ndarray]:
-    """Values (nulls as 0) and which of them are there. Stays in 64-bit integers, so large ids keep every digit."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False), pc.is_valid(column).to_numpy(zero_copy_only=False)
-
-
-def _finish_up(core: pa.Table) -> pa.Table:
-    """Sizes and cycles of the last nodes: (id, parent, acc) -> (id, parent, size, cycle_id)."""
-    core = core.sort_by("id")
-    ids, size = _ints(core["id"])[0], _ints(core["acc"])[0].copy()
-    want, has = _ints(core["parent"])
-    up = np.full(len(ids), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(ids, want[has]), len(ids) - 1)
-    up[has] = np.where(ids[at] == want[has], at, -1)
-    waiting = np.bincount(up[up >= 0], minlength=len(ids))
-    done = np.zeros(len(ids), dtype=bool)
-    front = np.nonzero(waiting == 0)[0]
-    while len(front):
-        done[front] = True
-        over = up[front]
-        held = over >= 0
-        np.add.at(size, over[held], size[front[held]])
-        np.subtract.at(waiting, over[held], 1)
-        front = np.unique(over[held])
-        front = front[(waiting[front] == 0) & ~done[front]]
-    cycle = np.full(len(ids), -1, dtype=np.int64)
-    for start in np.nonzero(~done)[0]:
-        if cycle[start] < 0:
-            ring, at = [], start
-            while cycle[at] < 0:
-                cycle[at] = 0
-                ring.append(at)
-                at = up[at]
-            cycle[ring] = ids[ring].min()
-            size[ring] = size[ring].sum()
-    rings = pa.array(np.where(cycle < 0, 0, cycle), pa.int64(), mask=cycle < 0)
-    return pa.table({"id": pa.array(ids, pa.int64()), "parent": core["parent"].cast(pa.int64()), "size": pa.array(size, pa.int64()), "cycle_id": rings})
-
-
-def subtree_sizes(links: DataFrame, local_bound: int = LOCAL_BOUND) -> tuple[DataFrame, list[DataFrame]]:
-    """Core nodes (id, parent, size, cycle_id), and the peeled rounds (id, parent, size), first round first."""
-    left = cut(links.select("id", "parent", F.lit(1).cast("long").alias("acc")))
-    rounds: list[DataFrame] = []
-    count = left.count()
-    while count > local_bound:
-        inner = left.where("parent IS NOT NULL").select(F.col("parent").alias("_p")).distinct()
-        leaves = cut(left.join(inner, F.col("id") == F.col("_p"), "left_anti"))
-        if leaves.isEmpty():
+    nodes = cut(picked.groupBy("id").agg(F.min("parent").alias("parent"), F.min("label").alias("label")))
+    kids = nodes.where("parent IS NOT NULL")
+    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
+    sound = _lookup(kids, ids, "parent")
+    return cut(nodes.where("parent IS NULL").unionByName(sound.select("id", F.when(F.col("_there"), F.col("parent")).alias("parent"), "label")))
+
+
+def _inner_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All nodes with ``leaf``, and the inner ones (id, parent, label, acc): acc counts the node and its leaves."""
+    fan = links.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("_fan")).select(F.col("parent").alias("_p"), "_fan")
+    nodes = cut(links.join(fan, F.col("id") == F.col("_p"), "left").select("id", "parent", "label", F.col("_fan").isNull().alias("leaf")))
+    leaves = nodes.where("leaf AND parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("_n")).select(F.col("parent").alias("_p"), "_n")
+    inner = nodes.where("NOT leaf").join(leaves, F.col("id") == F.col("_p"), "left")
+    return nodes, cut(inner.select("id", "parent", "label", (F.coalesce("_n", F.lit(0)) + 1).alias("acc")))
+
+
+def _lookup(rows: DataFrame, right: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None) -> DataFrame:
+    return balanced_join(rows, right, plan or plan_loads(rows, [key]), F.col("id"), how, placed=False)
+
+
+def _longer(pending: DataFrame, plan: LoadPlan) -> DataFrame:
+    """Pointers twice as long, and the least id on the way; nodes whose pointer ends leave."""
+    above = pending.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"), F.col("low").alias("_low"))
+    met = _lookup(pending, above, "ptr", "inner", plan)
+    kept = [c for c in pending.columns if c not in ("id", "ptr", "low", "moved")]
+    return met.select("id", F.col("_next").alias("ptr"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved"), *kept)
+
+
+def _climb(inner: DataFrame, sizes: bool) -> tuple[list[DataFrame], DataFrame]:
+    """What every round adds to sizes (id, add), and (id, ptr, low) of nodes that never reach a root."""
+    pending = inner.where("parent IS NOT NULL").select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low"), *(["acc"] if sizes else []))
+    plan, adds = plan_loads(pending, ["ptr"]), []
+    while plan.total:
+        longer = _longer(pending, plan).drop("moved")
+        if sizes:
+            adds.append(pending.groupBy("ptr").agg(F.sum("acc").alias("add")).withColumnRenamed("ptr", "id"))
+            longer = longer.join(adds[-1], "id", "left").withColumn("acc", F.col("acc") + F.coalesce("add", F.lit(0))).drop("add")
+        pending = cut(longer)
+        before, plan = plan.total, plan_loads(pending, ["ptr"])
+        if plan.total == before:
             break
-        passed = leaves.where("parent IS NOT NULL").groupBy(F.col("parent").alias("_p")).agg(F.sum("acc").alias("_add"))
-        inner_rows = left.join(inner, F.col("id") == F.col("_p"), "left_semi")
-        left = cut(
-            inner_rows.join(passed, F.col("id") == F.col("_p"), "left").select(
-                "id", "parent", (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")
-            )
-        )
-        rounds.append(leaves.select("id", "parent", F.col("acc").alias("size")))
-        count = left.count()
-    schema = "id long, parent long, size long, cycle_id long"
-    if count <= local_bound:
-        core = left.groupBy(F.lit(0).alias("_all")).applyInArrow(_finish_up, schema) if count else left.selectExpr(
-            "id", "parent", "acc AS size", "CAST(NULL AS long) AS cycle_id"
-        )
-        return cut(core), rounds
-    return cut(_label_rings(left)), rounds  # only rings are left
+    return adds, pending.select("id", "ptr", "low")
 
 
-def _label_rings(ring: DataFrame) -> DataFrame:
-    """Smallest id of each ring by pointer doubling: the window doubles until no minimum changes."""
-    now = cut(ring.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low"), F.col("acc").alias("tot"), "parent"))
-    while True:
-        other = now.select(F.col("id").alias("_i"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
-        nxt = cut(
-            now.join(other, F.col("ptr") == F.col("_i")).select(
-                "id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"), "tot", "parent", (F.col("_low") < F.col("low")).alias("moved")
-            )
-        )
-        if nxt.where("moved").isEmpty():
-            sums = nxt.groupBy("low").agg(F.sum("tot").alias("size"))
-            return nxt.join(sums, "low").select("id", "parent", "size", F.col("low").alias("cycle_id"))
-        now = nxt.drop("moved")
-
-
-def cycles(links: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame:
-    """(cycle_id, id) of every node on a cycle; cycle_id is the smallest id on it."""
-    core, _ = subtree_sizes(links, local_bound)
-    return core.where("cycle_id IS NOT NULL").select("cycle_id", "id")
-
-
-def _finish_down(core: pa.Table) -> pa.Table:
-    """Depth, root, path and range of core nodes from their sibling offsets."""
-    rows = {r["id"]: r for r in core.to_pylist()}
-    known: dict[int, tuple | None] = {}
-    for first in rows:
-        chain, at = [], first
-        while at is not None and at not in known:
-            chain.append(at)
-            if rows[at]["cycle_id"] is not None:
-                break
-            at = rows[at]["parent"]
-        for node in reversed(chain):
-            r = rows[node]
-            label = r["label"] or ""
-            if r["cycle_id"] is not None:
-                known[node] = None
-            elif r["parent"] is None:
-                known[node] = (node, 1, label, 0)
-            else:
-                over = known[r["parent"]]
-                known[node] = over and (over[0], over[1] + 1, f"{over[2]}/{label}", over[3] + 1 + r["offset"])
-    out = []
-    for node, got in known.items():
-        r = rows[node]
-        root, depth, path, lo = got or (None, None, None, None)
-        hi = None if lo is None else lo + r["size"]
-        out.append({"id": node, "parent": r["parent"], "root": root, "depth": depth, "path": path, "lo": lo, "hi": hi, "size": r["size"], "cycle_id": r["cycle_id"]})
-    kinds = [(c, pa.string() if c == "path" else pa.int64()) for c in ("id", "parent", "root", "depth", "path", "lo", "hi", "size", "cycle_id")]
-    return pa.Table.from_pylist(out, schema=pa.schema(kinds))
-
-
-HIERARCHY = "id long, parent long, root long, depth long, path string, lo long, hi long, size long, cycle_id long"
-
-
-def hierarchy(links: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame:
-    """Per node: root, depth (roots: 1), path of labels, preorder range [lo, hi) within its root, size, cycle_id.
+def _rings(endless: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, cycle_id) of the nodes on cycles, and of all inner nodes on or below one.
 
-    ``size`` counts the node itself; ``size - 1`` is the number of descendants.
+    Pointers grow until they reach no fewer nodes than before, which are then just the nodes on cycles, and until
+    no least id changes, which is then that of the cycle for those nodes.
     """
-    core, rounds = subtree_sizes(links, local_bound)
-    sized = core
-    for k, leaves in enumerate(rounds):
-        sized = sized.unionByName(leaves.withColumn("cycle_id", F.lit(None).cast("long")))
-    # Prefix sums among siblings, in two steps so that the children of one node never meet in one task.
-    kids = sized.where("parent IS NOT NULL")
-    fan = kids.groupBy("parent").agg(F.count(F.lit(1)).alias("_fan"))
-    kids = kids.join(fan, "parent").withColumn("_b", F.pmod(F.xxhash64("id"), F.ceil(F.col("_fan") / SIBLING_BUCKET)).cast("int"))
+    size = endless.agg(F.count_distinct("ptr")).first()[0]
+    while size:
+        endless = cut(_longer(endless, plan_loads(endless, ["ptr"])))
+        before, got = size, endless.agg(F.count_distinct("ptr").alias("n"), F.count_if("moved").alias("moved")).first()
+        size = got["n"]
+        if size == before and not got["moved"]:
+            break
+    on = endless.select(F.col("ptr").alias("id")).distinct()
+    ring = cut(endless.join(on, "id", "left_semi").select("id", F.col("low").alias("cycle_id")))
+    of = _lookup(endless.select("id", "ptr"), ring.withColumnRenamed("id", "ptr"), "ptr").select("id", "cycle_id")
+    return ring, of
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """(cycle_id, id) of every node on a cycle; cycle_id is the smallest id on it. ``links``: of clean_links."""
+    _, inner = _inner_nodes(links)
+    ring, _ = _rings(_climb(inner, False)[1])
+    return ring.select("cycle_id", "id")
+
+
+def _offsets(kids: DataFrame) -> DataFrame:
+    """(id, offset): sizes of the siblings with smaller ids; two steps, so no parent's children meet in one task."""
+    kids = kids.withColumn("_b", F.floor(F.col("id") / SIBLINGS))
     per = kids.groupBy("parent", "_b").agg(F.sum("size").alias("_s"))
-    before = per.withColumn(
-        "_base", F.coalesce(F.sum("_s").over(Window.partitionBy("parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_s")
-    within = F.coalesce(F.sum("size").over(Window.partitionBy("parent", "_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = kids.withColumn("_in", within).join(before, ["parent", "_b"]).select("id", (F.col("_base") + F.col("_in")).alias("offset"))
-    known = cut(links.select("id", "label").join(offsets, "id", "left").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long"))))
-    top = core.join(known, "id").groupBy(F.lit(0).alias("_all")).applyInArrow(_finish_down, HIERARCHY)
-    done = cut(top)
-    parts = [done]
-    # Unwind: the parent of a node peeled in round k was peeled later or is in the core. Only parents are needed again.
-    for leaves in reversed(rounds):
-        wanted = leaves.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        over = whole.join(wanted, "id", "left_semi").select(
-            F.col("id").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("lo").alias("_lo")
-        )
-        j = leaves.join(known, "id").join(over, F.col("parent") == F.col("_p"), "left")
-        is_root = F.col("parent").isNull()
-        label = F.coalesce("label", F.lit(""))
-        lo = F.when(is_root, F.lit(0).cast("long")).otherwise(F.col("_lo") + 1 + F.col("offset"))
-        parts.append(
-            cut(
-                j.select(
-                    "id",
-                    "parent",
-                    F.when(is_root, F.col("id")).otherwise(F.col("_root")).alias("root"),
-                    F.when(is_root, F.lit(1).cast("long")).otherwise(F.col("_depth") + 1).alias("depth"),
-                    F.when(is_root, label).otherwise(F.when(F.col("_path").isNotNull(), F.concat("_path", F.lit("/"), label))).alias("path"),
-                    lo.alias("lo"),
-                    (lo + F.col("size")).alias("hi"),
-                    "size",
-                    F.lit(None).cast("long").alias("cycle_id"),
-                )
+    sums = Window.partitionBy("parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("parent", "_b", F.coalesce(F.sum("_s").over(sums), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("parent", "_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    within = kids.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return within.join(before, ["parent", "_b"]).select("id", (F.col("_base") + F.col("_in")).alias("offset"))
+
+
+def _descend(inner: DataFrame) -> DataFrame:
+    """(id, root, depth, path, lo) of inner nodes that a root reaches. ``inner``: id, parent, label, step."""
+    done = inner.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("label").alias("path"), F.lit(0).cast("long").alias("lo"))
+    pending = inner.where("parent IS NOT NULL").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("d"), "label", "step")
+    while True:
+        plan = plan_loads(pending, ["ptr"])
+        if not plan.total:
+            return done
+        none = F.lit(None)
+        above = done.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("_d"), F.col("path").alias("_l"), F.col("lo").alias("_s"), none.cast("long").alias("_next"))
+        above = above.unionByName(pending.select("ptr", none.cast("long").alias("root"), F.col("d").alias("_d"), F.col("label").alias("_l"), F.col("step").alias("_s"), F.col("ptr").alias("_next"), "id").drop("ptr").withColumnRenamed("id", "ptr"))
+        met = cut(
+            _lookup(pending, above, "ptr", "inner", plan).select(
+                "id", F.col("_next").alias("ptr"), "root", (F.col("d") + F.col("_d")).alias("d"), F.concat("_l", F.lit("/"), "label").alias("label"), (F.col("step") + F.col("_s")).alias("step")
             )
         )
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+        done = done.unionByName(met.where("ptr IS NULL").select("id", "root", F.col("d").alias("depth"), F.col("label").alias("path"), F.col("step").alias("lo")))
+        pending = met.where("ptr IS NOT NULL").drop("root")
 
 
-def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """(ancestor, id) for every node below the nodes of ``of(id)``: an interval join within each root."""
-    top = tree.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("ancestor"), "root", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return tree.alias("t").join(top.alias("a"), (F.col("t.root") == F.col("a.root")) & (F.col("t.lo") > F.col("_lo")) & (F.col("t.lo") < F.col("_hi"))).select("ancestor", "id")
+def hierarchy(links: DataFrame) -> DataFrame:
+    """Per node: root, depth (roots: 1), path of labels, preorder range [lo, hi) within its root, size, cycle_id.
+
+    ``size`` counts the node itself; ``size - 1`` is the number of descendants. ``links``: of clean_links.
+    """
+    nodes, inner = _inner_nodes(links)
+    adds, endless = _climb(inner, True)
+    ring, of = _rings(endless)
+    of = cut(of)
+    sized = inner.select("id", F.col("acc").alias("n"))
+    for a in adds:
+        sized = sized.unionByName(a.select("id", F.col("add").alias("n")))
+    sized = sized.groupBy("id").agg(F.sum("n").alias("size"))
+    # What hangs on a cycle: its inner nodes with their leaves.
+    whole = of.join(inner.select("id", "acc"), "id").groupBy("cycle_id").agg(F.sum("acc").alias("_whole"))
+    ring = ring.join(whole, "cycle_id")
+    label = F.coalesce("label", F.lit(""))
+    full = cut(
+        nodes.join(sized, "id", "left").join(ring, "id", "left").select(
+            "id", "parent", "leaf", label.alias("label"), F.coalesce("_whole", "size", F.lit(1)).cast("long").alias("size"), "cycle_id"
+        )
+    )
+    kids = full.where("parent IS NOT NULL AND cycle_id IS NULL").select("id", "parent", "size")
+    full = cut(full.join(_offsets(kids), "id", "left"))
+    reached = full.where("NOT leaf").join(of.select("id"), "id", "left_anti")
+    top = cut(_descend(cut(reached.select("id", "parent", "label", (F.col("offset") + 1).alias("step")))))
+    # Leaves, and what hangs below a cycle, read their place from the parent.
+    rest = full.where("leaf AND parent IS NOT NULL").select("id", "parent", "label", "offset", "size", "cycle_id")
+    over = top.select(F.col("id").alias("parent"), "root", F.col("depth").alias("_d"), F.col("path").alias("_path"), F.col("lo").alias("_lo"))
+    low = _lookup(rest, over, "parent").select(
+        "id", "parent", "root", (F.col("_d") + 1).alias("depth"), F.concat("_path", F.lit("/"), "label").alias("path"), (F.col("_lo") + 1 + F.col("offset")).alias("lo"), "size", "cycle_id"
+    )
+    alone = full.where("leaf AND parent IS NULL").select("id", "parent", F.col("id").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("label").alias("path"), F.lit(0).cast("long").alias("lo"), "size", "cycle_id")
+    high = full.where("NOT leaf").join(top, "id", "left").select("id", "parent", "root", "depth", "path", "lo", "size", "cycle_id")
+    every = high.unionByName(low).unionByName(alone)
+    return every.select("id", "parent", "root", "depth", "path", "lo", (F.col("lo") + F.col("size")).alias("hi"), "size", "cycle_id")
+
+
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, id) for every node below the nodes of ``of(id)`` (default: all), from nested ranges.
+
+    Ranges are cut into blocks of ``BLOCK`` positions, so a join task holds a block of a tree, never a whole one.
+    """
+    placed = tree.where("root IS NOT NULL").select("id", "root", "lo", "hi")
+    top = placed.where(F.col("hi") - F.col("lo") > 1)
+    if of is not None:
+        top = top.join(of.select("id").distinct(), "id", "left_semi")
+    block = lambda at: F.floor(at / BLOCK)
+    spans = top.select(F.col("id").alias("ancestor"), F.col("root").alias("_root"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(block(F.col("lo") + 1), block(F.col("hi") - 1))).alias("_b"))
+    inside = placed.withColumn("_block", block(F.col("lo")))
+    hit = inside.join(spans, (F.col("root") == F.col("_root")) & (F.col("_block") == F.col("_b")) & (F.col("lo") > F.col("_lo")) & (F.col("lo") < F.col("_hi")))
+    return hit.select("ancestor", "id")

@@ -2,7 +2,11 @@
 
 A reference is at fault directly if the record it names is missing or deleted.  Records below a dead
 record are indirectly orphaned: a fixpoint of semi-joins carries death down the foreign keys, and
-references from or to such records are reported as inherited.
+references from or to such records are reported as inherited.  Each round of the fixpoint also joins the
+links with themselves, so that it reaches twice as far as the one before.
+
+Every lookup of references goes through ``skew.balanced_join``: references to one hot record, or without
+any, are spread over as many tasks as their number asks for.
 
 Defined results: exact duplicate rows are one record; the latest event per record counts (ties: the
 greatest event id); a null source is no live record; a null target id is judged by name; a relation whose
@@ -11,14 +15,12 @@ file is unknown has no package, so no name can be found in it; empty tables give
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.paths import package_of
-from quern.operators.hierarchy import LOCAL_BOUND
 from quern.operators.incremental import latest_by
-from quern.operators.skew import heavy_keys, salted_join
+from quern.operators.skew import balanced_join, plan_loads
 from quern.session import cut
 
 SYMBOL_COLUMNS = ["id", "file_id", "name", "parent_symbol_id"]
@@ -38,72 +40,69 @@ def current_files(files: DataFrame) -> DataFrame:
     return now.select(F.col("id").alias("file_id"), package_of(F.col("relative_path")).alias("package"), "last_indexed")
 
 
-def direct_orphans(relations: DataFrame, live: DataFrame, files: DataFrame) -> DataFrame:
+def distinct_references(relations: DataFrame) -> DataFrame:
+    """The columns of a reference, one row per record, written once."""
+    return cut(relations.select(F.col("id").alias("relation_id"), "source_symbol_id", "target_symbol_id", "target_symbol_name", "file_id").distinct())
+
+
+def with_package(rows: DataFrame, files: DataFrame, spread: str) -> DataFrame:
+    """``rows`` (a written table) with the package of their file, null where there is none."""
+    return balanced_join(rows, files.select("file_id", "package"), plan_loads(rows, ["file_id"]), F.col(spread))
+
+
+def direct_orphans(references: DataFrame, live: DataFrame, files: DataFrame) -> DataFrame:
     """(relation_id, ref_field, file_id) of every reference that is at fault itself.
 
-    ``live`` is the result of live_symbols, ``files`` of current_files.
+    ``references`` is the result of distinct_references, ``live`` of live_symbols, ``files`` of current_files.
     """
-    rel = relations.select(
-        F.col("id").alias("relation_id"), "source_symbol_id", "target_symbol_id", "target_symbol_name", "file_id"
-    ).distinct()
-    rel = cut(rel)
-    names = live.select(F.col("id").alias("_id"), F.col("name").alias("_name")).groupBy("_id").agg(F.collect_set("_name").alias("_names"))
-    ids = live.select(F.col("id").alias("_sid")).distinct()
-    heavy_source = heavy_keys(rel, "source_symbol_id")
-    by_source = salted_join(rel, ids, "source_symbol_id", "_sid", heavy_source, F.col("relation_id"))
-    bad_source = by_source.where("_sid IS NULL").select("relation_id", F.lit("source_symbol_id").alias("ref_field"), "file_id")
-
-    with_id = rel.where("target_symbol_id IS NOT NULL")
-    by_target = salted_join(with_id, names, "target_symbol_id", "_id", heavy_keys(with_id, "target_symbol_id"), F.col("relation_id"))
-    fault = F.when(F.col("_id").isNull(), "target_symbol_id").when(
+
+    def fault(rows: DataFrame, field) -> DataFrame:
+        return rows.select("relation_id", field.alias("ref_field"), "file_id")
+
+    by_source = references.select("relation_id", "source_symbol_id", "file_id")
+    ids = live.select(F.col("id").alias("source_symbol_id")).distinct()
+    bad_source = balanced_join(by_source, ids, plan_loads(by_source, ["source_symbol_id"]), F.col("relation_id"), "left_anti")
+
+    with_id = references.where("target_symbol_id IS NOT NULL").select("relation_id", "target_symbol_id", "target_symbol_name", "file_id")
+    names = live.groupBy(F.col("id").alias("target_symbol_id")).agg(F.collect_set("name").alias("_names"))
+    by_target = balanced_join(with_id, names, plan_loads(with_id, ["target_symbol_id"]), F.col("relation_id"))
+    kind = F.when(F.col("_names").isNull(), "target_symbol_id").when(
         ~F.coalesce(F.array_contains("_names", F.col("target_symbol_name")), F.lit(False)), "target_symbol_name"
     )
-    bad_target = by_target.withColumn("ref_field", fault).where("ref_field IS NOT NULL").select("relation_id", "ref_field", "file_id")
+    bad_target = fault(by_target, kind).where("ref_field IS NOT NULL")
 
     # Names without an id: first the distinct (file, name), then one lookup per (package, name).
-    loose = rel.where("target_symbol_id IS NULL")
-    asked = loose.groupBy("file_id", "target_symbol_name").agg(F.count(F.lit(1)).alias("_n"))
-    packages = files.select(F.col("file_id").alias("_f"), "package")
-    asked = asked.join(packages, F.col("file_id") == F.col("_f"), "left").drop("_f", "_n")
-    have = live.join(packages, F.col("file_id") == F.col("_f")).select(F.col("package").alias("_pkg"), F.col("name").alias("_nm")).distinct()
-    found = asked.join(have, (F.col("package") == F.col("_pkg")) & (F.col("target_symbol_name") == F.col("_nm")), "left_semi")
-    found = found.select(F.col("file_id").alias("_ff"), F.col("target_symbol_name").alias("_tt"))
-    bad_name = loose.join(found, (F.col("file_id") == F.col("_ff")) & (F.col("target_symbol_name") == F.col("_tt")), "left_anti")
-    bad_name = bad_name.select("relation_id", F.lit("target_symbol_name").alias("ref_field"), "file_id")
-    return bad_source.unionByName(bad_target).unionByName(bad_name)
-
-
-def _walk_down(links: pa.Table) -> pa.Table:
-    """Everything below the ids whose parent is null, and these ids themselves."""
-    below: dict[int, list[int]] = {}
-    front: list[int] = []
-    for i, p in zip(links["id"].to_pylist(), links["parent"].to_pylist()):
-        front.append(i) if p is None else below.setdefault(p, []).append(i)
-    found = set(front)
-    while front:
-        front = [c for p in front for c in below.pop(p, ()) if c not in found]
-        found.update(front)
-    return pa.table({"id": pa.array(sorted(found), pa.int64())})
-
-
-def cascade(live: DataFrame, local_bound: int = LOCAL_BOUND) -> DataFrame:
-    """Ids of live symbols below a symbol that is dead or missing: semi-joins down the parent key to a fixpoint.
-
-    A round touches only the children of the last round's symbols; symbols on cycles are met once. Links
-    that number no more than ``local_bound`` are walked in one task instead, as deep chains need many rounds.
+    loose = references.where("target_symbol_id IS NULL").select("relation_id", "file_id", "target_symbol_name")
+    asked = with_package(cut(loose.select("file_id", "target_symbol_name").distinct()), files, "target_symbol_name")
+    have = with_package(cut(live.select("file_id", "name").distinct()), files, "name").select(F.col("package").alias("_pkg"), F.col("name").alias("_nm")).distinct()
+    found = asked.join(have, (F.col("package") == F.col("_pkg")) & (F.col("target_symbol_name") == F.col("_nm")), "left_semi").drop("package")
+    bad_name = balanced_join(loose, found, plan_loads(loose, ["file_id", "target_symbol_name"]), F.col("relation_id"), "left_anti")
+    return fault(bad_source, F.lit("source_symbol_id")).unionByName(bad_target).unionByName(fault(bad_name, F.lit("target_symbol_name")))
+
+
+def cascade(live: DataFrame) -> DataFrame:
+    """Ids of live symbols below a symbol that is dead or missing, to a fixpoint.
+
+    Round k semi-joins the links that lead 2^k levels up with what is orphaned so far. As whoever is orphaned
+    from afar has an ancestor orphaned at every smaller distance, a round that finds nobody is the last.
     """
-    kids = cut(live.where("parent_symbol_id IS NOT NULL").select("id", F.col("parent_symbol_id").alias("parent")).distinct())
-    ids = live.select(F.col("id").alias("_live")).distinct()
-    front = cut(kids.join(ids, F.col("parent") == F.col("_live"), "left_anti").select("id").distinct())
-    if kids.count() <= local_bound:
-        both = kids.unionByName(front.select("id", F.lit(None).cast("long").alias("parent")))
-        return both.groupBy(F.lit(0).alias("_all")).applyInArrow(_walk_down, "id long")
-    found = front
-    while not front.isEmpty():
-        below = kids.join(front.select(F.col("id").alias("_up")), F.col("parent") == F.col("_up"), "left_semi").select("id").distinct()
-        front = cut(below.join(found, "id", "left_anti"))
-        found = cut(found.unionByName(front)) if not front.isEmpty() else found
-    return found
+    kids = cut(live.where("parent_symbol_id IS NOT NULL").select("id", F.col("parent_symbol_id").alias("up")).distinct())
+    ids = live.select(F.col("id").alias("up")).distinct()
+    sound = balanced_join(kids, ids.withColumn("_live", F.lit(True)), plan_loads(kids, ["up"]), F.col("id"))
+    sound = cut(sound)
+    found = cut(sound.where("_live IS NULL").select("id").distinct())
+    links = sound.where("_live").select("id", "up")
+    while True:
+        plan = plan_loads(links, ["up"])
+        if not plan.total:
+            return found
+        hit = balanced_join(links, found.select(F.col("id").alias("up")), plan, F.col("id"), "left_semi").select("id").distinct()
+        fresh = cut(hit.join(found, "id", "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = cut(found.unionByName(fresh))
+        above = links.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        links = cut(balanced_join(links, above, plan, F.col("id"), "inner").select("id", F.col("_next").alias("up")).distinct())
 
 
 def orphan_report(relations: DataFrame, symbols: DataFrame, late: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
@@ -113,18 +112,16 @@ def orphan_report(relations: DataFrame, symbols: DataFrame, late: DataFrame, eve
     """
     live = cut(live_symbols(symbols, late, events))
     now = cut(current_files(files))
-    direct = cut(direct_orphans(relations, live, now))
-    below = cut(cascade(live)).select(F.col("id").alias("_b"))
-    rel = relations.select(F.col("id").alias("relation_id"), "source_symbol_id", "target_symbol_id", "file_id").distinct()
-    parts = []
+    references = distinct_references(relations)
+    direct = cut(direct_orphans(references, live, now))
+    below = cascade(live)
+    tagged = direct.withColumn("_kind", F.lit("direct"))
     for field in ("source_symbol_id", "target_symbol_id"):
-        part = rel.where(F.col(field).isNotNull())
-        hit = salted_join(part, below, field, "_b", heavy_keys(part, field), F.col("relation_id")).where("_b IS NOT NULL")
+        part = references.where(F.col(field).isNotNull()).select("relation_id", field, "file_id")
+        hit = balanced_join(part, below.select(F.col("id").alias(field)), plan_loads(part, [field]), F.col("relation_id"), "left_semi")
         hit = hit.select("relation_id", F.lit(field).alias("ref_field"), "file_id")
-        parts.append(hit.join(direct.select("relation_id", "ref_field"), ["relation_id", "ref_field"], "left_anti"))
-    tagged = direct.withColumn("_kind", F.lit("direct"))
-    for p in parts:
-        tagged = tagged.unionByName(p.withColumn("_kind", F.lit("inherited")))
+        known = direct.where(F.col("ref_field") == field).select("relation_id")
+        tagged = tagged.unionByName(hit.join(known, "relation_id", "left_anti").withColumn("_kind", F.lit("inherited")))
     per_file = tagged.groupBy("file_id", "ref_field").agg(
         F.count_if(F.col("_kind") == "direct").alias("direct"), F.count_if(F.col("_kind") == "inherited").alias("inherited")
     )

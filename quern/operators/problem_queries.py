@@ -9,29 +9,48 @@ from quern.operators import hierarchy as H
 from quern.operators import incremental as I
 from quern.operators import orphans as O
 from quern.operators import skew as S
-from quern.session import cut, table
+from quern.session import cut, scratch, table
 
 #: p3_found: share of the distinct relations that makes a name hot.
 HOT_SHARE = 0.02
 
 
+def _store(spark: SparkSession) -> I.StateStore:
+    """An empty state store in the shared folder, removed when the driver ends."""
+    return I.StateStore(spark, scratch(spark), "path")
+
+
+def _committed(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content_hash, run_id): what the committed runs wrote, one row per run and path."""
+    runs = table(spark, sf, "index_runs").where(F.lower(F.trim("status")) == "committed").select("run_id").distinct()
+    rows = table(spark, sf, "index_ledger").select("path", "run_id", "content_hash").join(runs, "run_id")
+    return rows.groupBy("path", "run_id").agg(F.max("content_hash").alias("content_hash"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark)
+    store.adopt(_committed(spark, sf), "run_id")
     files = table(spark, sf, "files").select("path", "last_indexed", "id", "content_hash")
-    current = I.latest_by(files, "path", "last_indexed")
-    state = I.state_from_ledger(table(spark, sf, "index_ledger"), table(spark, sf, "index_runs"))
-    return I.changed_records(current, state, "path").select(F.col("id").alias("file_id"))
+    return store.pending(I.latest_by(files, "path", "last_indexed")).rows.select(F.col("id").alias("file_id"))
 
 
-def _distinct_relations(spark: SparkSession, sf: str) -> DataFrame:
-    rel = table(spark, sf, "relations").select("id", "target_symbol_name", "target_symbol_id", "source_symbol_id", "kind")
-    return cut(rel.distinct())
+def p2_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The committed runs played again through the store: (run_id, path) of every record that was new or changed in its run."""
+    store = _store(spark)
+    rows = cut(_committed(spark, sf))
+    found = None
+    for r in sorted(r.run_id for r in rows.select("run_id").distinct().collect()):
+        run = store.pending(rows.where(F.col("run_id") == r))
+        store.commit(run)
+        found = run.rows.select("run_id", "path") if found is None else found.unionByName(run.rows.select("run_id", "path"))
+    return found if found is not None else rows.select("run_id", "path")
 
 
 def p3_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Calls and distinct callers per (target_symbol_name, target_symbol_id), with the target's kind and file."""
-    rel = _distinct_relations(spark, sf).where("kind = 'calls'")
+    rel = table(spark, sf, "relations").where("kind = 'calls'").select("id", "target_symbol_name", "target_symbol_id", "source_symbol_id")
     plan = S.plan_loads(rel, ["target_symbol_name", "target_symbol_id"])
-    counts = S.per_key_counts(rel, plan, "source_symbol_id")
+    counts = cut(S.per_key_counts(rel, plan, "source_symbol_id", row="id"))
     symbols = table(spark, sf, "symbols").select("id", F.lower("kind").alias("target_kind"), F.col("file_id").alias("target_file_id"))
     symbols = symbols.groupBy(F.col("id").alias("target_symbol_id")).agg(
         F.min("target_kind").alias("target_kind"), F.min("target_file_id").alias("target_file_id")
@@ -41,10 +60,10 @@ def p3_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rel = _distinct_relations(spark, sf).select("id", "target_symbol_name").distinct()
+    rel = table(spark, sf, "relations").select("id", "target_symbol_name")
     plan = S.plan_loads(rel, ["target_symbol_name"])
-    counts = S.per_key_counts(rel, plan, "id")
-    total = rel.select("id").distinct().count()
+    counts = S.per_key_counts(rel, plan, "id", row="id")
+    total = rel.agg(F.count_distinct("id")).first()[0]
     return counts.where((F.col("distinct_id") >= HOT_SHARE * total) & F.col("target_symbol_name").isNotNull()).select("target_symbol_name")
 
 
@@ -67,6 +86,12 @@ def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
     return tree.select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), "depth", "path", (F.col("size") - 1).alias("descendants"))
 
 
+def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every (ancestor, descendant) pair of symbols, from the nested ranges."""
+    links = H.clean_links(table(spark, sf, "symbols"), "id", "parent_symbol_id")
+    return H.descendants(cut(H.hierarchy(links))).select(F.col("ancestor").alias("ancestor_id"), F.col("id").alias("symbol_id"))
+
+
 def _p7_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
     return [table(spark, sf, t) for t in ("relations", "symbols", "symbols_late", "symbol_events", "files")]
 
@@ -74,14 +99,14 @@ def _p7_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     relations, symbols, late, events, files = _p7_tables(spark, sf)
     live = cut(O.live_symbols(symbols, late, events))
-    return O.direct_orphans(relations, live, cut(O.current_files(files))).select("relation_id", "ref_field")
+    return O.direct_orphans(O.distinct_references(relations), live, cut(O.current_files(files))).select("relation_id", "ref_field")
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return O.orphan_report(*_p7_tables(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_targets, p5_found, p5_hierarchy, p5_paths, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_targets, p5_found, p5_hierarchy, p5_paths, p5_descendants, p7_found, p7_report)}
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(trim(relative_path), '[\\/]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/+', '')"
 
@@ -112,6 +137,10 @@ st AS (SELECT path, lower(trim(content_hash)) AS h FROM index_ledger
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC, content_hash DESC) = 1)
 SELECT cur.id AS file_id FROM cur LEFT JOIN st ON cur.path IS NOT DISTINCT FROM st.path
 WHERE st.path IS NULL OR st.h IS DISTINCT FROM cur.h""",
+    "p2_runs": """
+WITH w AS (SELECT path, run_id, max(content_hash) AS content_hash FROM index_ledger WHERE run_id IN (SELECT run_id FROM index_runs WHERE lower(trim(status)) = 'committed') GROUP BY 1, 2),
+h AS (SELECT path, run_id, lower(trim(content_hash)) AS h, row_number() OVER o AS n, lag(lower(trim(content_hash))) OVER o AS old FROM w WINDOW o AS (PARTITION BY path ORDER BY run_id))
+SELECT run_id, path FROM h WHERE n = 1 OR h IS DISTINCT FROM old""",
     "p3_found": """
 WITH r AS (SELECT DISTINCT id, target_symbol_name FROM relations)
 SELECT target_symbol_name FROM r WHERE target_symbol_name IS NOT NULL GROUP BY 1
@@ -136,6 +165,28 @@ t(id, root_id, depth, path, above) AS (
   UNION ALL SELECT s.id, t.root_id, t.depth + 1, t.path || '/' || s.name, list_append(t.above, t.id) FROM t JOIN s ON s.parent = t.id),
 d AS (SELECT a, count(*) AS n FROM (SELECT unnest(above) AS a FROM t) GROUP BY a)
 SELECT id AS symbol_id, root_id, depth, path, coalesce(d.n, 0) AS descendants FROM t LEFT JOIN d ON d.a = t.id""",
+    "p5_hierarchy": """
+WITH RECURSIVE s AS (SELECT id, min(parent_symbol_id) AS p, min(name) AS name FROM symbols GROUP BY id),
+k AS (SELECT s.id, s.name, CASE WHEN s.p IN (SELECT id FROM s) THEN s.p END AS parent FROM s),
+up(id, anc, hops) AS (SELECT id, id, 0 FROM k UNION SELECT up.id, k.parent, hops + 1 FROM up JOIN k ON k.id = up.anc WHERE k.parent IS NOT NULL AND hops < 200),
+low AS (SELECT id, min(anc) AS m FROM up WHERE hops > 0 GROUP BY id),
+ring AS (SELECT low.id, low.m AS cycle_id FROM low WHERE EXISTS (SELECT 1 FROM up WHERE up.id = low.id AND up.anc = low.id AND up.hops > 0)),
+t(id, root_id, depth, path) AS (
+  SELECT id, id, 1::BIGINT, name FROM k WHERE parent IS NULL
+  UNION ALL SELECT k.id, t.root_id, t.depth + 1, t.path || '/' || k.name FROM t JOIN k ON k.parent = t.id),
+pairs AS (SELECT DISTINCT id, anc FROM up),
+size AS (SELECT anc AS id, count(*) AS n FROM pairs GROUP BY anc),
+w AS (SELECT k.id, k.parent, 1 + coalesce(sum(size.n) OVER (PARTITION BY k.parent ORDER BY k.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step
+  FROM k JOIN size USING (id) JOIN t USING (id) WHERE k.parent IS NOT NULL),
+p AS (SELECT pairs.id, sum(w.step) AS lo FROM pairs JOIN w ON w.id = pairs.anc GROUP BY pairs.id)
+SELECT k.id AS symbol_id, t.root_id, t.depth, t.path, (CASE WHEN t.id IS NOT NULL THEN coalesce(p.lo, 0) END)::BIGINT AS lo,
+  (CASE WHEN t.id IS NOT NULL THEN coalesce(p.lo, 0) + size.n END)::BIGINT AS hi, size.n - 1 AS descendants, ring.cycle_id
+FROM k JOIN size USING (id) LEFT JOIN t USING (id) LEFT JOIN p USING (id) LEFT JOIN ring USING (id)""",
+    "p5_descendants": """
+WITH RECURSIVE s AS (SELECT id, min(parent_symbol_id) AS parent FROM symbols GROUP BY id),
+t(id, above) AS (SELECT id, []::BIGINT[] FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s)
+  UNION ALL SELECT s.id, list_append(t.above, t.id) FROM t JOIN s ON s.parent = t.id)
+SELECT unnest(above) AS ancestor_id, id AS symbol_id FROM t""",
     "p7_found": _P7 + "SELECT * FROM found",
     "p7_report": _P7.replace("WITH ev", "WITH RECURSIVE ev") + """,
 par AS (SELECT DISTINCT id, parent_symbol_id AS parent FROM (SELECT id, parent_symbol_id FROM symbols UNION ALL SELECT id, parent_symbol_id FROM symbols_late) WHERE id IN (SELECT id FROM live) AND parent_symbol_id IS NOT NULL),

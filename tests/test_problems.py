@@ -45,22 +45,57 @@ def test_clashing_columns(spark):
     assert S.balanced_join(current, other, plan, F.col("_k")).where("_rs = 'w'").count() == 1
 
 
+PAIR = "path string, content_hash string"
+
+
 def test_state_store_is_exactly_once(spark, tmp_path):
-    store = I.StateStore(spark, str(tmp_path), "path")
-    one = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content_hash string")
-    assert store.pending(one).count() == 2
+    store = I.StateStore(spark, str(tmp_path), "path", merge_after=2)
+    one = spark.createDataFrame([("a", "1"), ("b", "2")], PAIR)
+    run = store.pending(one)
+    assert run.rows.count() == 2
     # a run that fails before its commit leaves everything pending
-    assert store.pending(one).count() == 2
-    store.commit(one)
-    assert store.pending(one).count() == 0
-    two = spark.createDataFrame([("a", "1"), ("c", "3")], "path string, content_hash string")
-    assert [r.path for r in store.pending(two).collect()] == ["c"]
-    first = store.pointer.current()
-    # a version that was written but never named is not in force
-    two.write.parquet(f"{tmp_path}/v-torn")
-    assert store.pointer.current() == first
-    store.commit(two)
-    assert store.pending(one).count() == 0  # b stays known
+    run = store.pending(one)
+    assert run.rows.count() == 2 and store.commit(run) == 1
+    assert store.commit(run) == 1  # repeated after a lost answer
+    assert store.pending(one).rows.count() == 0
+    two = spark.createDataFrame([("a", "1"), ("c", "3"), (None, "n")], PAIR)
+    run = store.pending(two)
+    assert sorted(str(r.path) for r in run.rows.collect()) == ["None", "c"]
+    # a part that was written but never named is not in force
+    assert store.version() == 1 and store.pending(two).rows.count() == 2
+    store.commit(run)
+    assert store.pending(one).rows.count() == 0  # b stays known
+    run = store.pending(two, forget_missing=True)
+    assert run.rows.count() == 0
+    assert store.commit(run) == 3  # three parts are merged into one
+    assert [r.path for r in store.pending(one).rows.collect()] == ["b"]
+    assert store.clear(1, older_than_seconds=-5) > 0 and store.version() == 3
+    assert sorted(str(r.path) for r in store.load().collect()) == ["None", "a", "c"]
+
+
+def test_state_store_keeps_the_snapshot(spark, tmp_path):
+    store, source = I.StateStore(spark, f"{tmp_path}/s", "path"), f"{tmp_path}/source"
+    spark.createDataFrame([("a", "1"), ("b", "2")], PAIR).write.parquet(source)
+    run = store.pending(spark.read.parquet(source))
+    spark.createDataFrame([("a", "19"), ("b", "29")], PAIR).write.mode("overwrite").parquet(source)
+    assert {(r.path, r.content_hash) for r in run.rows.collect()} == {("a", "1"), ("b", "2")}
+    store.commit(run)
+    again = store.pending(spark.read.parquet(source))
+    assert {(r.path, r.content_hash) for r in again.rows.collect()} == {("a", "19"), ("b", "29")}
+
+
+def test_state_store_of_two_committers(spark, tmp_path):
+    store = I.StateStore(spark, str(tmp_path), "path")
+    first, second = (store.pending(spark.createDataFrame([(k, "1")], PAIR)) for k in "xy")
+    store.commit(first)
+    with pytest.raises(I.StaleState):
+        store.commit(second)
+    with pytest.raises(I.StaleState):  # the number is taken, even if the version was read before
+        store._publish(1, [second.part], "string")
+    assert [r.path for r in store.load().collect()] == ["x"]
+    late = store.pending(spark.createDataFrame([("y", "1")], PAIR))
+    store.commit(late)
+    assert sorted(r.path for r in store.load().collect()) == ["x", "y"]
 
 
 def brute_counts(rows):
@@ -94,13 +129,33 @@ def test_balanced_join_and_empty(spark):
     assert S.per_key_counts(none, S.plan_loads(none, ["k"], 4), "v").count() == 0
 
 
-def test_salted_join(spark):
+def test_placement_is_kept(spark):
     left = spark.createDataFrame([(i, 7 if i < 300 else None if i < 500 else i) for i in range(600)], "id long, k long")
-    right = spark.createDataFrame([(7, "a"), (550, "b"), (-1, "c")], "rk long, w string")
-    heavy = S.heavy_keys(left, "k", 0.1)
-    assert heavy == [7]
-    out = S.salted_join(left, right, "k", "rk", heavy, F.col("id"))
-    assert out.count() == 600 and out.where("w = 'a'").count() == 300 and out.where("w IS NOT NULL").count() == 301
+    plan = S.plan_loads(left, ["k"], 4)
+    assert {len(b) for b in plan.shards.values()} == {3, 4}
+    counted = S.per_key_counts(left.where(~plan.is_large()), S.LoadPlan(["k"], 4, 100, plan.bins), "id", row="id")
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the placement itself
+    right = spark.createDataFrame([(7, "a"), (550, "b"), (-1, "c"), (None, "n")], "k long, w string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for placed in (True, False):
+            out = S.balanced_join(left, right, plan, F.col("id"), placed=placed)
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+            assert out.count() == 600 and out.where("w = 'a'").count() == 300 and out.where("w = 'n'").count() == 200 and out.where("w IS NOT NULL").count() == 501
+            assert S.balanced_join(left, right, plan, F.col("id"), "left_anti", placed).count() == 99
+            assert S.balanced_join(left, right, plan, F.col("id"), "left_semi", placed).columns == ["id", "k"]
+            assert S.balanced_join(left, right, plan, F.col("id"), "inner", placed).count() == 501
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(i % 200, "hot" if i % 200 < 150 else f"k{i % 7}", i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, name string, caller long")
+    want = brute_counts([(n, c) for _, n, c in set(rows)])
+    got = {r.name: (r.calls, r.distinct_caller) for r in S.per_key_counts(df, S.plan_loads(df, ["name"], 4), "caller", row="id").collect()}
+    assert got == want
 
 
 def brute_tree(parents):
@@ -120,20 +175,23 @@ def brute_tree(parents):
     return info, cycles
 
 
-@pytest.mark.parametrize("bound", [10**6, 0, 30])
-def test_hierarchy_matches_brute_force(spark, bound):
+@pytest.mark.parametrize("hub", [False, True])
+def test_hierarchy_matches_brute_force(spark, hub):
     rng = random.Random(8)
     n = 120
     parents = {i: rng.choice([None, *range(max(0, i - 6), i)]) if i else None for i in range(n)}
     parents[50], parents[51], parents[90] = 51, 50, 90  # a ring of two, and a node that is its own parent
     parents[7] = 10_000  # no such node
+    if hub:  # one parent of two thirds of all nodes, and one below a cycle
+        parents |= {i: 20 for i in range(200, 500)} | {i: 50 for i in range(500, 520)} | {520: 519, 521: 520}
     rows = [(i, p, f"n{i}") for i, p in parents.items()] + [(3, parents[3], "n3"), (None, 1, "x")]
     links = H.clean_links(spark.createDataFrame(rows, "id long, up long, name string"), "id", "up", "name")
     info, cycles = brute_tree({i: p if p in parents else None for i, p in parents.items()})
-    tree = {r.id: r for r in H.hierarchy(links, bound).collect()}
+    whole = H.hierarchy(links).cache()
+    tree = {r.id: r for r in whole.collect()}
     assert set(tree) == set(parents)
     assert {i: r.cycle_id for i, r in tree.items() if r.cycle_id is not None} == cycles
-    assert {(r.cycle_id, r.id) for r in H.cycles(links, bound).collect()} == {(c, i) for i, c in cycles.items()}
+    assert {(r.cycle_id, r.id) for r in H.cycles(links).collect()} == {(c, i) for i, c in cycles.items()}
     for i, want in info.items():
         r = tree[i]
         if want is None:
@@ -143,19 +201,42 @@ def test_hierarchy_matches_brute_force(spark, bound):
         below = {j for j, w in info.items() if w and i in w[2]}
         assert r.size == len(below)
         assert {j for j, o in tree.items() if o.root == r.root and r.lo <= (o.lo if o.lo is not None else -1) < r.hi} == below
+    assert tree[50].size == tree[51].size == 2 + (22 if hub else 0) + sum(1 for i in range(52, 120) if info[i] is None and i != 90 and i not in cycles and climbs_to(parents, i, 50))
     some = spark.createDataFrame([(0,), (20,)], "id long")
-    got = {(r.ancestor, r.id) for r in H.descendants(H.hierarchy(links, bound), some).collect()}
+    got = {(r.ancestor, r.id) for r in H.descendants(whole, some).collect()}
+    every = {(r.ancestor, r.id) for r in H.descendants(whole).collect()}
+    assert every == {(a, j) for j, w in info.items() if w for a in w[2] if a != j}
     assert got == {(a, j) for a in (0, 20) for j, w in info.items() if w and a in w[2] and j != a}
 
 
+def climbs_to(parents, at, goal):
+    for _ in range(len(parents)):
+        if at == goal:
+            return True
+        at = parents.get(at)
+    return False
+
+
+def test_hierarchy_of_a_long_chain_and_a_hub(spark):
+    n = 2_000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    hub = spark.range(n, 11 * n).select("id", F.when(F.col("id") > n, F.lit(n)).alias("up"))
+    links = H.clean_links(chain.unionByName(hub), "id", "up")
+    tree = H.hierarchy(links).drop("path").cache()
+    assert tuple(tree.where(F.col("id") < n).agg(F.max("depth"), F.sum("depth"), F.sum("size"), F.sum("lo")).first()) == (n, n * (n + 1) // 2, n * (n + 1) // 2, n * (n - 1) // 2)
+    low = tree.where(F.col("id") >= n)
+    assert tuple(low.agg(F.max("depth"), F.max("size"), F.count_distinct("lo"), F.max("lo")).first()) == (2, 10 * n, 10 * n, 10 * n - 1)
+    ring = spark.range(n).select("id", ((F.col("id") + 1) % n).alias("up"))
+    assert tuple(H.cycles(H.clean_links(ring, "id", "up")).agg(F.count("id"), F.max("cycle_id")).first()) == (n, 0)
+
+
 def test_hierarchy_edges(spark):
     empty = spark.createDataFrame([], "id long, up long")
     assert H.hierarchy(H.clean_links(empty, "id", "up")).count() == 0
+    assert H.cycles(H.clean_links(empty, "id", "up")).count() == 0
     big = spark.createDataFrame([(2**60 + 1, 2**60 + 3), (2**60 + 3, None)], "id long, up long")
     tree = {r.id: r.depth for r in H.hierarchy(H.clean_links(big, "id", "up")).collect()}
     assert tree == {2**60 + 1: 2, 2**60 + 3: 1}  # ids keep every digit
-    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(400)], "id long, up long")
-    assert H.hierarchy(H.clean_links(chain, "id", "up")).agg(F.max("depth")).first()[0] == 400
 
 
 SYMBOLS = "id long, file_id long, name string, parent_symbol_id long, text string"
@@ -190,16 +271,18 @@ def test_orphans(spark):
     relations, symbols, late, events, files = orphan_tables(spark)
     live = O.live_symbols(symbols, late, events)
     assert sorted(r.id for r in live.collect()) == [1, 3, 4, 5]
-    got = {(r.relation_id, r.ref_field) for r in O.direct_orphans(relations, live, O.current_files(files)).collect()}
+    got = {(r.relation_id, r.ref_field) for r in O.direct_orphans(O.distinct_references(relations), live, O.current_files(files)).collect()}
     assert got == {
         (101, "source_symbol_id"), (102, "source_symbol_id"), (102, "target_symbol_name"), (103, "target_symbol_id"),
         (104, "target_symbol_name"), (106, "target_symbol_name"), (107, "target_symbol_name"),
     }
-    for bound in (0, 10**6):
-        assert sorted(r.id for r in O.cascade(live, bound).collect()) == [3, 4]
+    assert sorted(r.id for r in O.cascade(live).collect()) == [3, 4]
+    # a chain of 100 below a missing record, a ring, and one sound record
+    deep = [(i, 1, "n", i - 1) for i in range(1, 101)] + [(200, 1, "n", 201), (201, 1, "n", 200), (300, 1, "n", None), (301, 1, "n", 300)]
+    assert sorted(r.id for r in O.cascade(spark.createDataFrame(deep, "id long, file_id long, name string, parent_symbol_id long")).collect()) == list(range(1, 101))
     report = {(r.ref_field, r.month): (r.direct, r.inherited) for r in O.orphan_report(relations, symbols, late, events, files).collect()}
     assert report[("source_symbol_id", "2024-03")] == (0, 3)  # 103, 104 and 106 come from below a dead symbol
     assert report[("target_symbol_id", "2024-03")] == (1, 0)
     assert report[("target_symbol_name", None)] == (1, 0)
-    none = O.direct_orphans(relations.limit(0), live, O.current_files(files.limit(0)))
+    none = O.direct_orphans(O.distinct_references(relations.limit(0)), live, O.current_files(files.limit(0)))
     assert none.count() == 0
