@@ -3,6 +3,8 @@
 import base64
 import random
 
+import numpy as np
+
 import pytest
 
 from quern.llm import bpe, gll, leakage, pairs, quality, words
@@ -46,6 +48,32 @@ def brute_leaks(docs, items, n=12):
     return out
 
 
+def test_retrieval_matches_brute_force_scores():
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)] + ["the", "of"] * 12
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 14, 40, 90])))) for i in range(150)]
+    index = leakage.ItemIndex(items)
+    code = np.array([rng.randrange(-1, len(index.vocabulary)) for _ in range(600)])
+    start = np.arange(0, 560, 29)
+    stop = start + leakage.PASSAGE
+    n, dense = len(index.ids), np.zeros((len(index.vocabulary), len(index.ids)))
+    dense[index.key // n, index.key % n] = index.weight
+    want = set()
+    for p, (a, b) in enumerate(zip(start, stop)):
+        score = dense[sorted({c for c in code[a:b].tolist() if c >= 0})].sum(axis=0)
+        want |= {(p, i) for i in np.nonzero(score >= index.least)[0].tolist()}
+    got = set(zip(*(x.tolist() for x in index._retrieve(code, start, stop))))
+    assert got == want and len(want) > 20
+
+
+def test_only_retrieved_passages_are_verified(monkeypatch):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    index = leakage.ItemIndex([(1, text), (2, "alpha beta gamma"), (3, "")])
+    assert index.leaks([text + " more", None, "x alpha beta gamma"]) == [(0, 1), (2, 2)]
+    monkeypatch.setattr(index, "_retrieve", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert index.leaks([text]) == []
+
+
 def test_leaks_match_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = [f"w{k}" for k in range(40)] + ["the", "of", "and"] * 8
@@ -67,7 +95,7 @@ def test_leaks_match_brute_force(spark, monkeypatch):
     want = brute_leaks(docs, items)
     assert len(want) > 30
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it).collect()} == want
-    monkeypatch.setattr(leakage, "INDEX_ITEMS", 7)  # several indexes, one after the other
+    monkeypatch.setattr(leakage, "INDEX_BYTES", 20_000)  # several indexes, one after the other
     rows = [(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it).collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert leakage.find_leaks(df, it.limit(0)).count() == 0 and leakage.find_leaks(df.limit(0), it).count() == 0
