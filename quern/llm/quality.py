@@ -2,8 +2,10 @@
 
 A text is cut into lines, lines are joined to paragraphs (hard-wrapped sentences become whole again), and
 paragraphs are cut into sentences.  Combined rules decide which sentences run: enough words, a proper
-beginning, a plausible share of function words, few symbols, little repetition inside the sentence and in
-the document; lines of lists, tables, logs, code and listings never count.
+beginning (in scripts that have capitals), a plausible share of function words, few symbols, little repetition
+inside the sentence; lines of lists, tables, logs, code and listings never count.  Repetition statistics of the
+whole text decide as well: sentences said three times or more that fill a quarter of it do not count, nor does
+anything in a text that one repeated run of three words makes up.
 
 Defined results: null and blank texts have zero counts and null shares, and are never reported as junk;
 repeated rows give repeated statistics (``find_non_prose`` gives each id once); other columns are ignored;
@@ -34,21 +36,30 @@ MORE_SPANISH = "los las una al del le su sus para sin más está este esta como
 
 #: Least words of a sentence, and of one that begins in lower case; least Han characters of one; share of function words between which a sentence is plausible.
 MIN_WORDS, LOWER_WORDS, MIN_HAN, COMMON_LOW, COMMON_HIGH = 5, 8, 8, 0.12, 0.72
+#: Words of a stretch in which repetition is measured; words above which a sentence without function words needs this share of short words.
+STRETCH, SALAD_WORDS, SHORT_SHARE = 60, 8, 0.08
+#: Share of a text above which repeated sentences, or the most frequent run of three words, are debris.
+REPEATED, DOMINANT = 0.25, 0.3
 
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
 _HAN = re.compile(r"[㐀-鿿]")
+#: Scripts written without spaces (Han, kana, Thai, Lao, Myanmar, Khmer), and kana alone.
+_SPACELESS = re.compile(r"[㐀-鿿ぁ-ヿ฀-໿က-႟ក-៿]")
+_KANA = re.compile(r"[ぁ-ヿ]")
 _LIST = re.compile(r"\s*(?:[-*•+–·▪◦‣]\s|\(?\d{1,3}[.)]\s|#\.\s|\[[ xX]?\]\s|[a-z]\)\s)")
 _QUOTE = re.compile(r"\s*(?:>+|\|+|--|//+|;+|#+|%+|\*)\s+")
 _TABLE = re.compile(r"^\|.*\||\|$|\S\s+\|\s|\t|\S {3,}\S|^[-+=|:_~*#. ]+$")
 _LOG = re.compile(r"\s*(?:\d{4}-\d\d-\d\d|\d{9,13}\b|\d\d:\d\d:\d\d|\[?\d\d?/\w{3}/|(?:DEBUG|INFO|WARN|ERROR|FATAL|TRACE)\b|0x[0-9a-f]+\b|[0-9a-f]{8}\s)")
 _CODE = re.compile(r"[{}]\s*$|[=)\]]\S*;\s*$|^\s*(?:def |func |fn |pub |class |import |from \S+ import|return\b|if \(|for \(|while \(|const |let |var |void |int |char |bool |public |private |static |#include|@\w+$)|\w\(.*\)\s*(?:->.*)?[:{;]?\s*$|^\s{4,}\S.*[)=:]$|=>|&&|\|\||==|:=|->")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|\s+(?=[㐀-鿿])")
+_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？।॥؟۔።])\s*|\s+(?=[㐀-鿿])")
 _DASH = re.compile(r"\s+-\s+")
 _CAPITAL = re.compile(r"(?<=[^\W\dA-Z])\s+(?=[A-Z][a-z]*\s+[a-z])")
 _WORDLIKE = re.compile(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+|\w*_\w*|(?:[A-Z][a-z]+){2,}|[a-z]+(?:[A-Z][a-z]+)+")
-_STOP = re.compile(r"[.!?…](?:\s|$)|[。！？]")
+_STOP = re.compile(r"[.!?…](?:\s|$)|[。！？।॥؟۔።]")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-’‘“”«»…。，！？、：；]")
-_END = (".", "!", "?", "…", "。", "！", "？", ":", ";", '."', '!"', '?"')
+_PAUSE = re.compile(r"[,;:()]|\s[-–—]\s")
+_CLOSE = (".", "!", "?", "…", "。", "！", "？", "।", "॥", "؟", "۔", "።")
+_END = (*_CLOSE, ":", ";", '."', '!"', '?"')
 
 
 class Judge:
@@ -63,16 +74,20 @@ class Judge:
     def sentence_runs(self, s: str) -> bool:
         """Whether one joined sentence is running prose."""
         s = s.replace("`", "").replace("*", "")
-        han = len(_HAN.findall(s)) if not s.isascii() else 0
-        if han * 2 > len(s) * 0.8 and han >= MIN_HAN:
-            return sum(s.count(w) for w in self.han_common) >= 1 and len(set(s)) > 5
+        if not s.isascii():
+            spaceless = len(_SPACELESS.findall(s))
+            if spaceless * 2 > len(s) * 0.8 and spaceless >= MIN_HAN:
+                han = len(_HAN.findall(s))
+                return len(set(s)) > 5 and (han < spaceless or _KANA.search(s) is not None or sum(s.count(w) for w in self.han_common) >= 1)
+            s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Mc"))  # vowel signs are no word breaks
         words = _TOKEN.findall(s)
         n = len(words)
-        if n < MIN_WORDS or n > 150 or (n > 45 and not s.endswith((".", "!", "?", "…"))):
+        if n < MIN_WORDS or (n > 45 and not s.endswith(_CLOSE)):
             return False
         begin = s.lstrip("\"'«“‘([¿¡*_ ")
-        first, closed = begin[:1], s.endswith((".", "!", "?", "…")) and not s.endswith("..")
-        proper = first.isupper() or first.isdigit() or re.match(r"\w*(?:_|[a-z][A-Z])\w", begin) is not None
+        first, closed = begin[:1], s.endswith(_CLOSE) and not s.endswith("..")
+        caseless = first.isalpha() and first.lower() == first.upper()
+        proper = first.isupper() or first.isdigit() or caseless or re.match(r"\w*(?:_|[a-z][A-Z])\w", begin) is not None
         if not proper and not (closed and LOWER_WORDS <= n <= 60):
             return False
         low = [w.lower() for w in words]
@@ -81,15 +96,21 @@ class Judge:
             return False
         if share < COMMON_LOW and sum(_WORDLIKE.fullmatch(w) is not None for w in words) < 0.8 * n:
             return False
-        if share < COMMON_LOW and not (first.isupper() and n > MIN_WORDS + (0 if closed else 2)):
+        if share < COMMON_LOW and not ((first.isupper() or caseless) and n > MIN_WORDS + (0 if closed else 2)):
             return False
+        if share == 0 and n > SALAD_WORDS and s.isascii() and not _PAUSE.search(s) and sum(len(w) <= 3 for w in words) < SHORT_SHARE * n:
+            return False  # long, without a pause and without any of the small words that every language has
         if not proper and not 0.2 <= share <= 0.66:
             return False
         if len(_SYMBOL.findall(s)) > 0.05 * len(s) or s.count(",") > 0.4 * n:
             return False
         if sum(map(len, words)) < 0.5 * len(s):
             return False
-        return not (n > 12 and len(set(low)) < 0.5 * n and n > 30) and not (n >= 16 and len(set(low)) < 0.4 * n)
+        # Repetition inside the sentence, by stretches, as long sentences come back to their small words.
+        if n <= STRETCH:
+            return not (n > 30 and len(set(low)) < 0.5 * n) and not (n >= 16 and len(set(low)) < 0.4 * n)
+        stretches = [len(set(low[k : k + STRETCH])) for k in range(0, n - STRETCH + 1, STRETCH)]
+        return sum(stretches) >= 0.4 * STRETCH * len(stretches)
 
     def prose_chars(self, text: str) -> int:
         """Characters of ``text`` (already unfolded) that lie in running sentences."""
@@ -132,8 +153,20 @@ class Judge:
             paragraph.append(s)
         close()
         counts = Counter(sentences)
-        # the same sentence over and over is debris, however well it reads
-        return sum(c * (len(s) + 1) for s, c in counts.items() if (c < 3 or c * len(s) * 4 < len(text)) and self.sentence_runs(s))
+        # Sentences over and over are debris, however well they read; so is a text one run of words makes up.
+        over = sum(c * (len(s) + 1) for s, c in counts.items() if c >= 3)
+        worn = over >= REPEATED * len(text)
+        if self.dominant(text.lower().split()) > DOMINANT:
+            return 0
+        return sum(c * (len(s) + 1) for s, c in counts.items() if not (worn and c >= 3) and self.sentence_runs(s))
+
+    @staticmethod
+    def dominant(words: list[str]) -> float:
+        """Share of the letters of a text that its most voluminous repeated run of three words covers."""
+        if len(words) < 6 or len(set(words)) > (1 - DOMINANT / 3) * len(words):
+            return 0.0  # too many different words for any run to cover as much
+        letters = sum(map(len, words))
+        return max((min(1.0, c * sum(map(len, g)) / letters) for g, c in Counter(zip(words, words[1:], words[2:])).items() if c > 1), default=0.0)
 
     @staticmethod
     def _reads(lines: list[str], k: int) -> bool:
@@ -230,11 +263,8 @@ STATISTICS = (
 
 
 def _common(common_words: DataFrame) -> set[str]:
-    """The reference words: a fixed list, refused where it is no such list any more."""
-    words = common_words.select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().limit(200_001).collect()
-    if len(words) > 200_000:
-        raise ValueError("common_words is meant to be a short list; more than 200,000 words were given")
-    return {r.w for r in words}
+    """The reference words: a fixed list of function words, which does not grow with the documents."""
+    return {r.w for r in common_words.select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().collect()}
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

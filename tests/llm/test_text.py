@@ -223,3 +223,32 @@ FORMS = {
 @pytest.mark.parametrize("source", FORMS)
 def test_forms_of_functions(source):
     assert [f["name"] for f in gll.functions(source)] == FORMS[source]
+
+
+RUNNING = {
+    "ja": "この関数は設定ファイルを読み込み、必要な値を検証してから結果を返します。エラーが起きた場合には、呼び出し元に例外を送ります。",
+    "ko": "이 함수는 설정 파일을 읽고 필요한 값을 확인한 다음 결과를 돌려줍니다. 오류가 발생하면 호출한 쪽에 예외를 전달합니다.",
+    "ar": "تقرأ هذه الدالة ملف الإعدادات وتتحقق من القيم المطلوبة ثم تعيد النتيجة إلى المستدعي. وإذا حدث خطأ فإنها ترسل استثناء واضحا إلى البرنامج.",
+    "hi": "यह फ़ंक्शन सेटिंग फ़ाइल को पढ़ता है और ज़रूरी मानों की जाँच करके परिणाम लौटाता है। यदि कोई त्रुटि होती है तो यह कॉल करने वाले को अपवाद भेजता है।",
+    "th": "ฟังก์ชันนี้อ่านไฟล์การตั้งค่าและตรวจสอบค่าที่จำเป็นก่อนส่งผลลัพธ์กลับไปยังผู้เรียก",
+    "ru": "Эта функция читает файл настроек и проверяет нужные значения, а затем возвращает результат. Если возникает ошибка, она передаёт исключение вызывающему коду.",
+    "pt": "Esta função lê o ficheiro de configuração e verifica os valores necessários antes de devolver o resultado. Se ocorrer um erro, ela envia uma exceção a quem a chamou.",
+    "long": "When the worker starts, it reads the file that was written by the scheduler on the night before, looks up every shard that is still marked as open, asks the registry who holds its lease, and, "
+    "if nobody answers within the time that an operator has set for this kind of request, takes the lease itself, writes a line to the journal so that a later reader can tell what happened and why, "
+    "copies the newest pages into memory while older ones stay on disk, tells all of its neighbours which part of the table they may drop, and waits until each has confirmed; only then does it begin with "
+    "the work for which we built it, namely to merge small pieces into larger ones, to throw away records that were deleted long ago, to rebuild the index from what remains, to compare its digest with that of "
+    "the copy in the other region, and to report the difference, should there be any, to the people on duty, who can then decide whether the copy or the original ought to be trusted during the next day.",
+}
+DEBRIS = {
+    "salad": "Table running parser Monday blue deployment seventeen window gateway purple cursor lantern bridge.",
+    "cycle": "The parser reads the file first. Then the cache is filled again. After that the worker sleeps. Nobody waits for the lock here. The result goes to the queue. " * 9,
+    "dominant": "the quick fox " * 60,
+    "twice a line": "\n".join(["We read the file and return what it holds."] * 5),
+}
+
+
+@pytest.mark.parametrize("name", [*RUNNING, *DEBRIS])
+def test_prose_in_any_script_and_debris(name):
+    judge = quality.Judge({"the", "of", "and", "is", "的"})
+    share = judge.prose_share(RUNNING.get(name) or DEBRIS[name])
+    assert share >= 0.8 if name in RUNNING else share < 0.5
