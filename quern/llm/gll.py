@@ -44,11 +44,28 @@ def lex(source: str, pattern: re.Pattern = _LEX) -> list[Token]:
     return out
 
 
+def function_of(signature: str | None, body: str | None, python: bool) -> dict | None:
+    """The function whose signature and (cut off) body these are, parsed as a broken file; None if no function starts there."""
+    if not signature or not signature.strip():
+        return None
+    head = signature.rstrip()
+    if python:
+        head = head if head.endswith(":") else head + ":"
+    elif not head.endswith(("{", ";", "=>")):
+        head += " =>" if "=" in head and _BINDERS & set(head.split()) else " {"
+    found = functions(f"{head}\n{body or ''}", 1)
+    return found[0] if found else None
+
+
 #: Nonterminal -> alternatives. Lower-case names in angle brackets are token tests, other symbols literal text.
 GRAMMAR: dict[str, list[list[str]]] = {
     "Function": [["Mods", "def", "Name", "Generic", "Params", "Result"], ["Mods", "function", "Star", "Name", "Generic", "Params", "Result"],
                  ["Mods", "fn", "Name", "Generic", "Params", "Result"], ["Mods", "func", "Receiver", "Name", "Generic", "Params", "Result"],
-                 ["Mods", "Type", "Name", "Params", "Tail"], ["Mods", "Type", "Owner", "Name", "Params", "Tail"], ["Method"]],
+                 ["Mods", "Type", "Name", "Params", "Tail"], ["Mods", "Type", "Owner", "Name", "Params", "Tail"], ["Method"], ["Arrow"]],
+    # Functions bound to a name.
+    "Arrow": [["Mods", "Let", "Name", "Annot", "=", "Mods", "Params", "Result", "=>"], ["Mods", "Let", "Name", "Annot", "=", "Mods", "Generic", "Params", "Result", "=>"], ["Mods", "Let", "Name", "=", "Mods", "<name>", "=>"]],
+    "Let": [[], ["let"], ["var"]],
+    "Annot": [[], [":", "Out"]],
     # Constructors, destructors and methods without a type.
     "Method": [["Mods", "Name", "Generic", "Params", "Tail"], ["Mods", "Owner", "Name", "Params", "Tail"], ["Mods", "Owner", "~", "Name", "Params", "Tail"], ["Mods", "~", "Name", "Params", "Tail"]],
     "Mods": [[], ["Mods", "<modifier>"]],
@@ -153,6 +170,8 @@ class Parse:
 
 
 _OPENERS = {"def", "function", "fn", "func"}
+#: Words that bind a name to a value.
+_BINDERS = {"const", "let", "var"}
 
 
 def docstring_of(body: str) -> str | None:
@@ -165,8 +184,8 @@ def docstring_of(body: str) -> str | None:
     return t.lstrip("rbufRBUF").strip("\"'") if t else None
 
 
-def functions(source: str) -> list[dict]:
-    """Functions of a source text of any supported language, broken or whole.
+def functions(source: str, last_line: int | None = None) -> list[dict]:
+    """Functions of a source text of any supported language, broken or whole; with ``last_line`` those that begin by then.
 
     Each has name, signature, doc (comments right before it, or a string that opens its body), line and body_snippet.
     """
@@ -181,6 +200,8 @@ def functions(source: str) -> list[dict]:
     out, k, pending = [], 0, []
     while k < len(tokens):
         t = tokens[k]
+        if last_line and t.line > last_line:
+            break
         if t.kind in ("comment", "doc"):
             pending.append(t)
             k += 1
@@ -192,15 +213,20 @@ def functions(source: str) -> list[dict]:
             continue
         starts_line = k == 0 or tokens[k - 1].kind in ("line", "comment") or tokens[k - 1].text in "{};"
         # a function needs a parenthesis on the same line; tokens are parsed only up to the end of its header
-        stop, ahead = k, None
+        stop, ahead, arrow = k, None, False
         while starts_line and stop < len(tokens):
             x = tokens[stop].text
-            if x == "(":
+            if x == "=" and not ahead and any(o.text in _BINDERS for o in tokens[k:stop]):
+                arrow = True
+            elif x == "=>" and arrow:
+                ahead, stop = True, stop + 1
+                break
+            elif x == "(":
                 ahead = True
                 if stop not in closes:
                     break
                 stop = closes[stop]
-            elif x in "{};=" and x or tokens[stop].kind == "line" or (x == ":" and ahead):
+            elif x in "{};=" and x or tokens[stop].kind == "line" or (x == ":" and ahead and not arrow):
                 break
             stop += 1
         if ahead and starts_line and (t.kind == "word" and t.text not in KEYWORDS or t.text == "~"):
@@ -215,13 +241,15 @@ def functions(source: str) -> list[dict]:
             braced = brace < len(tokens) and tokens[brace].text == "{"
             declared = any(x.text in _OPENERS for x in part[:8]) or braced
             method = parse.ends.get(("Method", 0), ())
-            if end in method and not any(x.text in _OPENERS for x in part[:8]):
+            if arrow:
+                declared = end == len(part) and part[-1].text == "=>"
+            elif end in method and not any(x.text in _OPENERS for x in part[:8]):
                 declared = braced and end == len(part) and not any(x.text in BLOCKS for x in part[:1])
             if end and declared:
-                span = parse.spans("Function", 0, end, "Name") or parse.spans("Method", 0, end, "Name")
+                span = parse.spans("Function", 0, end, "Name") or parse.spans("Method", 0, end, "Name") or parse.spans("Arrow", 0, end, "Name")
                 if span:
                     last = part[end - 1]
-                    signature = source[t.at : last.at + len(last.text)]
+                    signature = source[t.at : last.at + (0 if arrow else len(last.text))]
                     first = tokens[stop].line if stop < len(tokens) else last.line
                     if braced and not any(x.text in _OPENERS for x in part[:8]):
                         first = tokens[brace].line
@@ -236,3 +264,16 @@ def functions(source: str) -> list[dict]:
         pending = []
         k += 1
     return out
+
+
+def function_of(signature: str | None, body: str | None, python: bool) -> dict | None:
+    """The function whose signature and (cut off) body these are, parsed as a broken file; None if no function starts there."""
+    if not signature or not signature.strip():
+        return None
+    head = signature.rstrip()
+    if python:
+        head = head if head.endswith(":") else head + ":"
+    elif not head.endswith(("{", ";", "=>")):
+        head += " =>" if "=" in head and _BINDERS & set(head.split()) else " {"
+    found = functions(f"{head}\n{body or ''}", 1)
+    return found[0] if found else None

@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
 Source files are parsed with an error-recovering generalised LL grammar (``gll``), so functions come out
-of broken files too; tables of symbols that are parsed already go straight to pairing.  Documentation is
-cleaned of everything that says nothing, corpus-repeated descriptions are found by counting hashes, and a
-pair is kept if enough words remain that do not merely repeat the function's name.
+of broken files too; signature and snippet of a symbol are such a file, cut off.  Documentation is cleaned of
+everything that says nothing, corpus-repeated descriptions are found by counting hashes in which the name is left
+open, and a pair is kept if enough words remain that do not merely repeat the function's name.
 
 Defined results: kinds count in any letter case; a symbol without signature and snippet is no pair; null or
 blank documentation is replaced by a Python docstring that opens the snippet; exact duplicate rows are one
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.gll import docstring_of
+from quern.llm.gll import docstring_of, function_of
 from quern.llm.gll import functions as parse_functions
+from quern.operators.skew import balanced_join, plan_loads
 from quern.session import cut
 
-#: Words beyond the name; characters of scripts without spaces; share and number of symbols that make a description a template.
-LEAST_WORDS, LEAST_CHARS, TEMPLATE_SHARE, TEMPLATE_COUNT = 5, 10, 0.005, 40
+#: Words beyond the name; characters of scripts without spaces; differently named functions that make a description a template.
+LEAST_WORDS, LEAST_CHARS, TEMPLATE_COUNT = 5, 10, 40
 
 _NAME_WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_][\w]*(?:['’-][^\W\d_]\w*)*|\d+[^\W\d_]\w*")
@@ -158,7 +159,7 @@ def telling(doc: str | None, name: str) -> tuple[int, int, str]:
     return count, chars, text
 
 
-PAIRS = "symbol_id long, name string, documentation string, words long, characters long, template long"
+PAIRS = "symbol_id long, name string, documentation string, words long, characters long, template long, parsed boolean"
 
 
 def pair_functions(symbols: DataFrame) -> DataFrame:
@@ -174,27 +175,45 @@ def pair_functions(symbols: DataFrame) -> DataFrame:
     # Rows without any documentation leave before Python sees them.
     rows = rows.where(~blank | (python & opens)).withColumn("_blank", blank)
 
+    rows = rows.withColumn("_python", python)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, name, doc, body, empty in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                doc = docstring_of(body) if empty else doc
-                words, chars, text = telling(doc, name)
+            for i, name, doc, signature, body, empty, py in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                # Every row is parsed as the start of a broken file; where no function starts, its columns speak.
+                parsed = function_of(signature, body, py)
+                if empty:
+                    doc = parsed["doc"] if parsed and parsed["doc"] else docstring_of(body)
+                called = f"{name or ''} {parsed['name']}" if parsed and parsed["name"] != name else name or ""
+                words, chars, text = telling(doc, called)
                 if words >= LEAST_WORDS or chars >= LEAST_CHARS:
-                    key = " ".join(w.lower() for w in _WORD.findall(text)) if not chars else re.sub(r"\d+", "0", text)
-                    out.append((i, name, text, words, chars, hash_text(key)))
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["symbol_id", "name", "documentation", "words", "characters", "template"])
-
-    told = cut(rows.select("symbol_id", "name", "doc_comment", "body_snippet", "_blank").mapInArrow(run, PAIRS))
-    # Descriptions that a large share of all documented functions repeat word by word describe none of them.
-    total = told.count()
-    counts = told.groupBy("template").agg(F.count(F.lit(1)).alias("_n"))
-    limit = max(TEMPLATE_COUNT, TEMPLATE_SHARE * total)
-    # at most 1 / TEMPLATE_SHARE templates can hold such a share
-    worn = [r.template for r in counts.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(int(1 / TEMPLATE_SHARE)).collect()]
-    return told.where(~F.col("template").isin(worn)) if worn else told
+                    out.append((i, name, text, words, chars, template_of(text, called), parsed is not None))
+            columns = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["symbol_id", "name", "documentation", "words", "characters", "template", "parsed"])
+
+    picked = rows.select("symbol_id", "name", "doc_comment", "signature", "body_snippet", "_blank", "_python")
+    return without_templates(cut(picked.mapInArrow(run, PAIRS)))
+
+
+def template_of(text: str, name: str) -> int:
+    """A hash of a description in which the words of the function's name and numbers are left open."""
+    own = {stem(w) for w in _NAME_WORD.findall(name)}
+    return hash_text(" ".join("_" if stem(w) in own or w.isdigit() else w.lower() for w in re.findall(r"[^\W_]+", text)))
+
+
+def without_templates(told: DataFrame) -> DataFrame:
+    """Rows but those whose description, names left open, stands at more than ``TEMPLATE_COUNT`` differently named functions.
+
+    The bound is a number, not a share, so the same description is kept or dropped whatever else the corpus holds.
+    ``told`` is a written table.
+    """
+    counts = told.groupBy("template", "name").agg(F.lit(1).alias("_1")).groupBy("template").agg(F.count(F.lit(1)).alias("_n"))
+    worn = cut(counts.where(F.col("_n") > TEMPLATE_COUNT).select("template"))
+    if worn.isEmpty():
+        return told
+    return balanced_join(told, worn, plan_loads(told, ["template"]), F.col("documentation"), "left_anti")
 
 
 def hash_text(text: str) -> int:
@@ -207,18 +226,19 @@ def extract_pairs(files: DataFrame, text: str = "text", path: str = "path") -> D
     """(path, line, name, signature, documentation, body_snippet) from source texts, broken ones included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "line", "name", "signature", "documentation", "body_snippet"]
+        names = ["path", "line", "name", "signature", "documentation", "body_snippet", "template"]
         for batch in batches:
             out = []
             for where, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for f in parse_functions(source or ""):
                     words, chars, told = telling(f["doc"], f["name"])
                     if words >= LEAST_WORDS or chars >= LEAST_CHARS:
-                        out.append((where, f["line"], f["name"], f["signature"], told, f["body_snippet"]))
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+                        out.append((where, f["line"], f["name"], f["signature"], told, f["body_snippet"], template_of(told, f["name"])))
+            columns = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return files.select(F.col(f"`{path}`").cast("string"), f"`{text}`").mapInArrow(
-        run, "path string, line long, name string, signature string, documentation string, body_snippet string"
+    found = files.select(F.col(f"`{path}`").cast("string"), f"`{text}`").mapInArrow(
+        run, "path string, line long, name string, signature string, documentation string, body_snippet string, template long"
     )
+    return without_templates(cut(found)).drop("template")

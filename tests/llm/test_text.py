@@ -252,3 +252,39 @@ def test_prose_in_any_script_and_debris(name):
     judge = quality.Judge({"the", "of", "and", "is", "的"})
     share = judge.prose_share(RUNNING.get(name) or DEBRIS[name])
     assert share >= 0.8 if name in RUNNING else share < 0.5
+
+
+ARROWS = """
+// Adds two numbers and returns their sum to the caller.
+export const add = (a, b) => a + b;
+/** Doubles whatever it is given, twice over. */
+const dbl = async (x: number): Promise<number> => {
+  return x;
+}
+let one = x => x + 1;
+const y = foo(1);
+class A {
+  /** Reads the file again from the start. */
+  read(a) { return 1; }
+}
+"""
+
+
+def test_arrow_functions_and_cut_off_symbols():
+    found = {f["name"]: f["doc"] for f in gll.functions(ARROWS)}
+    assert list(found) == ["add", "dbl", "one", "read"] and found["one"] is None and "Doubles" in found["dbl"] and "Reads" in found["read"]
+    assert gll.function_of("def merge(queue)  -> bytes", '    """Joins both\n    queues', True)["doc"].startswith("Joins both")
+    for signature, name in (("void f(const char *a)", "f"), ("func (r *T) Go(a int) error", "Go"), ("public List<String> get(String a)", "get"), ("pub fn run(&self) -> u8", "run"), ("const h = (a)", "h"), ("Ctor(int a)", "Ctor")):
+        assert gll.function_of(signature, "    x = 1", False)["name"] == name
+    assert gll.function_of(None, "x", False) is None and gll.function_of("  ", "x", True) is None and gll.function_of("@@ nothing", None, False) is None
+
+
+@pytest.mark.parametrize("others", [0, 3000])
+def test_templates_drop_at_any_size_of_the_corpus(spark, others):
+    said = lambda n: f"Helper that takes whatever {n} may hold and passes it on to the next layer unchanged."
+    rows = [(i, f"take_v{i:03d}x", said(f"take_v{i:03d}x")) for i in range(120)] + [(1000 + i, "copied", "Turns each line of the file into a record with its own number.") for i in range(300)]
+    rows += [(5000 + i, f"other{i}", f"Counts the words of chapter {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} in the second book again.") for i in range(others)]
+    df = spark.createDataFrame([(i, n, f"m.py::{n}", "function", f"def {n}()", d, None) for i, n, d in rows], "id long, name string, qualified_name string, kind string, signature string, doc_comment string, body_snippet string")
+    kept = {r.symbol_id for r in pairs.pair_functions(df).select("symbol_id").collect()}
+    # the template goes; one function that was copied is no template
+    assert kept == {i for i, _, _ in rows if i >= 1000}
