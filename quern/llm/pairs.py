@@ -199,7 +199,7 @@ def pair_functions(symbols: DataFrame) -> DataFrame:
 
 def template_of(text: str, name: str) -> int:
     """A hash of a description in which the words of the function's name and numbers are left open."""
-    own = {stem(w) for w in _NAME_WORD.findall(name)}
+    own = {stem(w) for w in _NAME_WORD.findall(name) + re.findall(r"[^\W_]+", name)}
     return hash_text(" ".join("_" if stem(w) in own or w.isdigit() else w.lower() for w in re.findall(r"[^\W_]+", text)))
 
 
