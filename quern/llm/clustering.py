@@ -445,8 +445,11 @@ def clusters(vectors: DataFrame, dim: int = 64, least: int = 3, id: str = "symbo
 
 
 def describe(members: DataFrame, id: str = "symbol_id", typical: int = TYPICAL) -> DataFrame:
-    """(cluster_id, size, typical): per cluster its size and the members nearest to its centre, nearest first."""
-    keyed = members.select("cluster_id", F.pmod(F.xxhash64(id), F.lit(64)).alias("_b"), F.struct((-F.col("similarity")).alias("d"), F.col(id).alias("m")).alias("x"))
+    """(cluster_id, size, typical): per cluster its size and the members nearest to its centre, nearest first.
+
+    Nearness is told to four decimals, ties by id.
+    """
+    keyed = members.select("cluster_id", F.pmod(F.xxhash64(id), F.lit(64)).alias("_b"), F.struct((-F.round("similarity", 4)).alias("d"), F.col(id).alias("m")).alias("x"))
     # Two steps, so that the members of a huge cluster never meet in one list.
     part = keyed.groupBy("cluster_id", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.slice(F.array_sort(F.collect_list("x")), 1, typical).alias("top"))
     whole = part.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical).alias("top"))

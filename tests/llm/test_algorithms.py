@@ -116,6 +116,24 @@ def test_chunks_do_not_change_clusters(spark, monkeypatch):
     assert got == want and len(want) == 12
 
 
+def test_random_clusters_about_the_threshold(spark):
+    """Groups whose inner, cross and outer similarities all lie about 0.8, at once."""
+    rng = np.random.default_rng(17)
+    vectors = {}
+    for k, (inner, cross) in enumerate(((0.83, 0.72), (0.86, 0.76), (0.95, 0.78))):
+        gram = np.full((10, 10), cross)
+        gram[:5, :5] = gram[5:, 5:] = inner
+        np.fill_diagonal(gram, 1)
+        vectors |= {100 * k + i: v for i, v in enumerate(from_cosines(gram, seed=20 + k))}
+    for k in range(40):
+        n = int(rng.integers(3, 9))
+        centre = rng.standard_normal(64)
+        spread = rng.standard_normal((n, 64)) * rng.uniform(0.3, 0.6)
+        vectors |= {1000 + 10 * k + i: v for i, v in enumerate(centre + spread)}
+    got, want = found_and_wanted(spark, vectors)
+    assert got == want and {0, 5, 100, 105, 200, 205} <= {c for c, _ in want} and len({c for c, _ in want}) < 46
+
+
 def test_link_recall():
     """Two leaves of one cluster share a hash bucket: recall at and above the threshold."""
     rng = np.random.default_rng(1)
