@@ -22,14 +22,18 @@ def root_of(symbols: DataFrame, name: str) -> DataFrame:
     return symbols_by_name(symbols, name, 1)
 
 
-def levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(id, lvl): least distance of every node within ``depth`` of ``roots(id)``. Edges: (a, b)."""
+def levels(edges: DataFrame, roots: DataFrame, depth: int, known: DataFrame | None = None) -> DataFrame:
+    """(id, lvl): least distance of every node within ``depth`` of ``roots(id)``. Edges: (a, b), a written table.
+
+    A level reads two columns, keeps the edges of the frontier and tells their ends apart; nothing else is shuffled.
+    """
     front = cut(roots.select("id").distinct().withColumn("lvl", F.lit(0)))
     seen = front
-    links = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    links = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     for lvl in range(1, depth + 1):
         reached = links.join(front.select(F.col("id").alias("_f")), F.col("_a") == F.col("_f")).select(F.col("_b").alias("id")).distinct()
-        front = cut(reached.join(seen, "id", "left_anti").withColumn("lvl", F.lit(lvl)))
+        reached = reached.join(seen, "id", "left_anti")
+        front = cut((reached if known is None else reached.join(known, "id", "left_semi")).withColumn("lvl", F.lit(lvl)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -47,7 +51,9 @@ def call_graph(symbols: DataFrame, relations: DataFrame, name: str, depth: int,
         raise SymbolNotFound(name)
     calls = relations.where((F.col("kind") == "calls") & F.col("target_symbol_id").isNotNull())
     a, b = ("target_symbol_id", "source_symbol_id") if callers else ("source_symbol_id", "target_symbol_id")
-    lv = levels(calls.select(F.col(a).alias("a"), F.col(b).alias("b")).join(symbols.select(F.col("id").alias("b")).distinct(), "b", "left_semi"), root, depth)
+    # The edges are written once, with what the answer needs of them; ends that are no symbols are dropped from what is reached.
+    calls = cut(calls.select("id", "source_symbol_id", "target_symbol_id", "file_id", "line"))
+    lv = levels(calls.select(F.col(a).alias("a"), F.col(b).alias("b")), root, depth, symbols.select("id"))
     nodes = symbols.join(lv, "id").select("id", "name", "qualified_name", "kind", "file_id", "start_line", "lvl")
     expanded = lv.where(F.col("lvl") < depth).select(F.col("id").alias("_x"))
     edges = calls.join(expanded, F.col(a) == F.col("_x")).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.skew import balanced_join, plan_loads
 from quern.schema import DEPENDENCY_KINDS, REPORTED_KINDS, UNEMBEDDED_KINDS
 
 
@@ -17,11 +18,14 @@ def parent_dir(path: Column, root: str = "") -> Column:
 def resolve_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     """Fill null targets with the least id of the symbols of exactly that name.
 
-    The lookup side is one row per name; names are aggregated before the join, never correlated.
+    The lookup side is one row per name. Rows that have a target stay where they are; the others are spread by the
+    load of their name, as a handful of names has most of them. ``relations`` is read three times: give a table.
     """
-    names = symbols.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_id"))
-    joined = relations.join(names, (F.col("target_symbol_name") == F.col("_name")) & F.col("target_symbol_id").isNull(), "left")
-    return joined.withColumn("target_symbol_id", F.coalesce("target_symbol_id", "_id")).drop("_name", "_id")
+    names = symbols.where("name IS NOT NULL").groupBy(F.col("name").alias("target_symbol_name")).agg(F.min("id").alias("__q_id"))
+    loose = relations.where("target_symbol_id IS NULL")
+    joined = balanced_join(loose, names, plan_loads(loose, ["target_symbol_name"]), F.col("id"))
+    found = joined.withColumn("target_symbol_id", F.col("__q_id")).select(*relations.columns)
+    return relations.where("target_symbol_id IS NOT NULL").unionByName(found)
 
 
 def resolution_counts(relations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -74,8 +78,9 @@ def with_paths(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 def references(relations: DataFrame, symbols: DataFrame, files: DataFrame, name_filter: Column) -> DataFrame:
     """Every relation whose resolved target is a matching symbol, with its source and place."""
-    targets = symbols.where(name_filter).select(F.col("id").alias("target_id"), F.col("qualified_name").alias("target"))
-    hits = relations.join(targets, F.col("target_symbol_id") == F.col("target_id"))
+    targets = symbols.where(name_filter).select(F.col("id").alias("target_symbol_id"), F.col("id").alias("target_id"), F.col("qualified_name").alias("target"))
+    aimed = relations.where("target_symbol_id IS NOT NULL").select("id", "source_symbol_id", "target_symbol_id", "kind", "file_id", "line")
+    hits = balanced_join(aimed, targets, plan_loads(aimed, ["target_symbol_id"]), F.col("id"), "inner")
     sources = symbols.select(F.col("id").alias("_s"), F.col("name").alias("source"), F.col("kind").alias("source_kind"))
     names = files.select(F.col("id").alias("_id"), F.col("relative_path").alias("_path")).distinct()
     found = hits.join(sources, F.col("source_symbol_id") == F.col("_s")).join(names, F.col("file_id") == F.col("_id"), "left")

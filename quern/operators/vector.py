@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import fts
 from quern.schema import UNEMBEDDED_KINDS
+from quern.session import cut
 
 #: Queries compared in one pass over the rows: the block that travels with the tasks.
 QUERY_BLOCK = 4096
@@ -114,7 +115,9 @@ def hybrid(text_hits: DataFrame, semantic_hits: DataFrame, symbols: DataFrame, f
     score = F.when(F.col("_t").isNotNull() & F.col("_s").isNotNull(), (F.col("_t") + F.col("_s")) / 2 + 0.1).otherwise(F.coalesce("_t", "_s"))
     source = F.when(F.col("_s").isNull(), "text").when(F.col("_t").isNull(), "semantic").otherwise("both")
     top = both.select("id", score.alias("score"), source.alias("source"))
-    known = top.join(symbols.select("id", "name", "qualified_name", "kind", "file_id", "signature", "body_snippet").distinct(), "id")
+    # At most 4 x limit hits: only their symbols are told apart, so no text of others is shuffled.
+    top = cut(top)
+    known = symbols.select("id", "name", "qualified_name", "kind", "file_id", "signature", "body_snippet").join(F.broadcast(top), "id").distinct()
     best = known.orderBy(F.desc("score"), "id").limit(limit)
     names = files.select(F.col("id").alias("_f"), F.col("relative_path").alias("_path")).distinct()
     out = best.join(names, F.col("file_id") == F.col("_f"), "left")

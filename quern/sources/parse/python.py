@@ -13,11 +13,19 @@ _QUOTES = ('"""', "'''")
 class _Walk(ast.NodeVisitor):
     def __init__(self, out: Parsed, source: str, first_line: int = 0) -> None:
         self.out, self.lines, self.shift = out, source.split("\n"), first_line
+        # Byte offsets of lines; sources with other line ends are left to the library, which is slower.
+        self.raw, self.starts = source.encode(errors="replace"), None
+        if not re.search(r"\r(?!\n)|\f", source):
+            self.starts = [0]
+            for line in self.raw.split(b"\n"):
+                self.starts.append(self.starts[-1] + len(line) + 1)
         self.source = source
         self.parent: int | None = None
 
     def _text(self, node: ast.AST) -> str:
-        return ast.get_source_segment(self.source, node) or ""
+        if self.starts is None:
+            return ast.get_source_segment(self.source, node) or ""
+        return self.raw[self.starts[node.lineno - 1] + node.col_offset : self.starts[node.end_lineno - 1] + node.end_col_offset].decode(errors="replace")
 
     def _doc(self, node) -> str | None:
         first = node.body[0] if node.body else None
@@ -99,39 +107,87 @@ def _parenthesis(text: str) -> str:
     return "()"
 
 
+_CONTINUES = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
+_COMPOUND = re.compile(r"(?:async\s+)?(?:def|class|if|for|while|with|try|match)\b")
+
+
+def _parses(lines: list[str]) -> bool:
+    try:
+        ast.parse("\n".join(lines))
+        return True
+    except (SyntaxError, ValueError, RecursionError):
+        return False
+
+
+def _repair(lines: list[str]) -> list[str]:
+    """As many lines, in which statements that do not parse are ``pass``.
+
+    Statements are told apart by their indentation; of one that fails, the block below it is repaired alone, so a
+    broken method costs itself and no line is parsed more often than it is nested.
+    """
+    full = [k for k, l in enumerate(lines) if l.strip() and not l.lstrip().startswith("#")]
+    if not full or _parses(lines):
+        return lines
+    deep = min(len(lines[k]) - len(lines[k].lstrip()) for k in full)
+    groups: list[list[int]] = []
+    quoted = decorated = False
+    for k in full:
+        line = lines[k][deep:]
+        if groups and (quoted or decorated or line[:1].isspace() or _CONTINUES.match(line)):
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+        if not quoted:
+            decorated = line.startswith("@") or (decorated and line[:1].isspace())
+        quoted ^= (line.count('"""') + line.count("'''")) % 2 == 1
+    out = [""] * len(lines)
+    for g in groups:
+        a, b = g[0], g[-1] + 1
+        part = [l[deep:] for l in lines[a:b]]
+        if not _parses(part):
+            part = _repair_statement(part)
+        out[a:b] = [" " * deep + l if l else "" for l in part]
+    return out
+
+
+def _repair_statement(part: list[str]) -> list[str]:
+    nothing = ["pass"] + [""] * (len(part) - 1)
+    at = next((k for k, l in enumerate(part) if not l.startswith("@")), 0)
+    rest = ["    pass", "finally:", "    pass"] if part[at].startswith("try") else ["    pass"]
+    inner = next((k for k in range(at + 1, len(part)) if part[k][:1].isspace() and part[k].strip() and part[k - 1].rstrip().endswith(":") and _parses([*part[:k], *rest])), None)
+    if not _COMPOUND.match(part[at]):
+        return nothing
+    if inner is None:
+        # the header is broken: what is defined below it may still be read
+        below = [l if l[:1].isspace() else "" for l in part[1:]]
+        return ["if True:", *_body(below)] if any(l.strip() for l in below) else nothing
+    # clauses after the first (else, except) are repaired with the block they follow
+    stop = next((k for k in range(inner, len(part)) if part[k].strip() and not part[k][:1].isspace()), len(part))
+    whole = [*part[:inner], *_body(part[inner:stop]), *[""] * (len(part) - stop)]
+    if _parses(whole):
+        return whole
+    # a header that wants another clause (try)
+    whole = ["if True:", *[""] * (inner - 1), *whole[inner:]]
+    return whole if _parses(whole) else nothing
+
+
+def _body(lines: list[str]) -> list[str]:
+    done = _repair(lines)
+    if any(l.strip() and not l.lstrip().startswith("#") for l in done):
+        return done
+    return ["    pass", *done[1:]] if done else ["    pass"]
+
+
 def parse_python(source: str, path: str) -> Parsed:
+    """Symbols and relations of a module; statements that do not parse are left out, whatever surrounds them."""
     out = Parsed(path)
     try:
-        _Walk(out, source).visit(ast.parse(source))
-        return out
+        tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        out = Parsed(path)
-    # Cut at top-level statements; a statement that does not parse is cut back line by line from its end.
-    lines = source.split("\n")
-    starts = [k for k, l in enumerate(lines) if re.match(r"[^\s#)\]}\"']", l)] or [0]
-    groups, open_decorator = [], None
-    for k in starts:
-        at = open_decorator if open_decorator is not None else k
-        open_decorator = at if lines[k].startswith("@") else None
-        if open_decorator is None:
-            groups.append(at)
-    for a, b in zip(groups, [*groups[1:], len(lines)]):
-        end = b
-        while end > a:
-            chunk = "\n".join(lines[a:end])
-            try:
-                tree = ast.parse(chunk)
-            except (SyntaxError, ValueError, RecursionError):
-                end -= 1
-                continue
-            _Walk(out, chunk, a).visit(tree)
-            break
-        else:
-            head = lines[a]
-            if re.match(r"\s*(?:async\s+def|def|class)\s", head):
-                try:
-                    tree = ast.parse(head + "\n    pass")
-                except (SyntaxError, ValueError):
-                    continue
-                _Walk(out, head + "\n    pass", a).visit(tree)
+        source = "\n".join(_repair(source.replace("\0", " ").expandtabs(8).split("\n")))
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError):
+            return out
+    _Walk(out, source).visit(tree)
     return out

@@ -77,6 +77,40 @@ def test_parser_details():
     assert parse("anything", "unknown", "p").symbols == []
 
 
+BROKEN = '''import os
+def one(a):
+    return two(a)
+class C(Base):
+    def two(self):
+        return (1,
+    def three(self):
+        x =
+        return one(3)
+    @property
+    def four(self) -> int:
+        """Doc of four, "é"."""
+        try:
+            a = 1 +
+        except ValueError:
+            pass
+        return one(4)
+def broken(x, y -> :
+    def inner(z):
+        return one(z)
+def five():
+    return one(5)
+'''
+
+
+def test_broken_python_loses_only_what_is_broken():
+    got = parse(BROKEN, "python", "a.py")
+    assert [s.name for s in got.symbols if s.kind != "import"] == ["one", "C", "two", "three", "four", "inner", "five"]
+    assert sum("one" in r for r in got.relations) == 4 and sum("two" in r for r in got.relations) == 1
+    assert next(s for s in got.symbols if s.name == "four").doc_comment == 'Doc of four, "é".'
+    big = "class A:\n" + "".join(f"    def m{k}(self):\n        return {k}{' +' if k % 50 == 0 else ''}\n" for k in range(2000))
+    assert len(parse(big, "python", "b.py").symbols) == 2001
+
+
 def test_ignore_rules():
     rules = IgnoreRules([("", "*.log\n!keep.log\n/out\nbuild/\ndocs/**/x.md\n"), ("sub", "local*\n")])
     hidden = {"a.log": True, "d/b.log": True, "keep.log": False, "out": True, "d/out": False, "build/x": True, "docs/a/b/x.md": True, "docs/x.md": True, "sub/local1": True, "local1": False}
@@ -147,3 +181,6 @@ def test_streaming_reindex(spark, tmp_path):
     save(3, "def three(): pass\n", "2024-01-03T00:00:00Z")
     reindex(saved_files(spark, str(inbox)), ix, str(tmp_path / "cp"), once=True).awaitTermination()
     assert [r.name for r in ix.tables()["symbols"].collect()] == ["three"]
+    save(4, "def old(): pass\n", "2024-01-02T12:00:00Z")  # an older save that comes late
+    reindex(saved_files(spark, str(inbox)), ix, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert [r.name for r in ix.tables()["symbols"].collect()] == ["three"]
