@@ -5,10 +5,12 @@ leaves are merged tree-wise: first with leaves that share a coarse cross-polytop
 found with many finer ones.  Linked leaves are agglomerated by Ward's criterion as long as the merged
 centre keeps its members together, and every vector is assigned once, through its leaf.
 
-The groups only say which vectors to compare; the result does not depend on them.  Every vector is held against
-the centre of every group and visits the groups that could hold a vector similar to it, by the angle to the
-centre and that of the farthest member.  Members and visitors of a group are then compared exactly, in blocks of
-bounded size: a cluster is a set of vectors that have just each other as similar vectors in the whole table.
+The groups only say which vectors to compare; the result does not depend on them.  The centres of all groups are
+held against each other, once per pair; where the angles of the farthest members leave room for similar vectors,
+the vectors of the wider group are held against the centre of the narrower one and visit it if they could be similar
+to a member.  Members and visitors of a group are then compared exactly, in blocks of bounded size: a cluster is a
+set of vectors that have just each other as similar vectors in the whole table.  No hash takes part in this; its work
+grows with the square of the groups, but only centres of one byte per dimension are copied to the blocks.
 
 Only leaf summaries travel between tasks; a group of similar vectors, however large, is reduced to few
 leaves per partition before anything is shuffled.  Links between leaves are found by hashing, so the
@@ -33,8 +35,8 @@ from quern.session import cut, shuffle_width
 
 #: Similarity of members; similarity of a leaf to its members; link between leaf centres; hash tables of two rotations.
 THRESHOLD, LEAF, LINK, TABLES = 0.8, 0.9, 0.76, 28
-#: Members compared in one block of the verification; vectors or centres in one block of the search for visitors; typical members reported.
-SHARD, REACH, TYPICAL = 4096, 16384, 3
+#: Members compared in one block of the verification; centres in one block of the search for near groups, at most; typical members reported.
+SHARD, REACH, TYPICAL = 4096, 262144, 3
 #: Least cosine that counts as similar, rounding included.
 SIMILAR = THRESHOLD - 1e-6
 
@@ -114,6 +116,29 @@ def _lists(x: np.ndarray, kind=pa.float32()) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), kind), x.shape[1]).cast(pa.list_(kind))
 
 
+def _codes(x: np.ndarray) -> pa.Array:
+    """Directions in one byte per dimension."""
+    code = np.round(x * 127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30)).astype(np.int8)
+    return pa.array([r.tobytes() for r in code], pa.binary())
+
+
+def _decoded(column: pa.Array, dim: int, dtype=np.float32) -> np.ndarray:
+    """The unit vectors of ``_codes``."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(-1, dim).astype(dtype)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30).astype(dtype)
+
+
+def _radius(low: np.ndarray) -> np.ndarray:
+    """The angle of the farthest member, rounding included."""
+    return np.arccos(np.clip(low - 1e-6, -1, 1))
+
+
+def _room(angle: np.ndarray | float) -> np.ndarray:
+    """Least cosine at which vectors so much wider apart than similar ones can be; -2 where any can."""
+    angle = np.arccos(SIMILAR) + angle
+    return np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)) - 1e-5, -2).astype(np.float32)
+
+
 def unit_vectors(vectors: DataFrame, dim: int, id: str = "symbol_id", vector: str = "vector") -> DataFrame:
     """(id, v): one unit vector of ``dim`` finite numbers per id."""
     v = F.col(f"`{vector}`").cast("array<float>")
@@ -205,9 +230,7 @@ def _links(leaves: DataFrame, dim: int) -> DataFrame:
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = _matrix(batch.column(1), dim, np.float64)
-            c = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-30)
-            code = np.round(c * 127 / np.abs(c).max(axis=1, keepdims=True)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in code], pa.binary()), batch.column(2)], names=["leaf", "code", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _codes(s), batch.column(2)], names=["leaf", "code", "keys"])
 
     # Centres travel as one byte per dimension; the margin between LINK and THRESHOLD covers the rounding.
     coded = keyed.select("leaf", "sums", "keys").mapInArrow(small, "leaf long, code binary, keys array<long>")
@@ -235,7 +258,8 @@ def _links(leaves: DataFrame, dim: int) -> DataFrame:
             return np.concatenate(out_a), np.concatenate(out_b)
 
         for batch in batches:
-            found_a, found_b = [], []
+            # A bucket can go on through a whole batch; then there is nothing to tell yet.
+            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for leaf, code, key in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if key != held_key:
                     a, b = flush()
@@ -323,38 +347,65 @@ def ward_in_chunks(counts: np.ndarray, sums: np.ndarray, chunk: int = 4096) -> n
             return group
 
 
+def _near_groups(groups: DataFrame, dim: int) -> DataFrame:
+    """(grp, to): pairs of groups that could hold vectors similar to each other, the wider group first.
+
+    Two vectors are no more similar than the angle of their centres, less those of the farthest members, allows.
+    Centres meet in blocks, every pair of blocks in one task; what is copied per block is the code of a centre.
+    """
+    n = groups.count()
+    blocks = max(1, -(-n // REACH), min(8, -(-n // 2048)))
+    dealt = groups.select("grp", "code", "low", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int").alias("_b"))
+    every = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+    pairs = every.select("grp", "code", "low", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        i, j = (table[c][0].as_py() for c in ("_i", "_j"))
+        radius = _radius(table["low"].to_numpy())
+        # By radius, so that the groups of a tile leave about as much room.
+        order = np.argsort(radius, kind="stable")
+        radius, grp, low, block = (c[order] for c in (radius, *(table[c].to_numpy() for c in ("grp", "low", "_b"))))
+        x = _decoded(table["code"], dim)[order]
+        a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        xb = np.ascontiguousarray(x[b].T)
+        for lo in range(0, len(a), 512):
+            part = a[lo : lo + 512]
+            for lo2 in range(lo - lo % 4096 if i == j else 0, len(b), 4096):
+                other = b[lo2 : lo2 + 4096]
+                near = x[part] @ xb[:, lo2 : lo2 + 4096]
+                least = _room(radius[part[-1]] + radius[other[-1]])
+                if near.max() < least:
+                    continue
+                at, to = np.nonzero(near >= least)
+                cos, at, to = near[at, to], part[at], other[to]
+                close = cos >= _room(radius[at] + radius[to])
+                if i == j:
+                    close &= at < to
+                at, to = at[close], to[close]
+                wider = (low[at] < low[to]) | ((low[at] == low[to]) & (grp[at] < grp[to]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(wider, grp[at], grp[to])), pa.array(np.where(wider, grp[to], grp[at]))], names=["grp", "to"])
+
+    # More partitions than pairs of blocks, so that few share one.
+    return pairs.repartition(blocks * (blocks + 1), "_i", "_j").groupBy("_i", "_j").applyInArrow(meet, "grp long, to long")
+
+
 def _visits(members: DataFrame, groups: DataFrame, dim: int) -> DataFrame:
     """(id, v, grp): vectors and the other groups that could hold vectors similar to them.
 
     A vector similar to a member is no farther from the centre than the member and the angle of similarity
     together. Of two groups the wider one visits the narrower one; so every similar pair of different groups
-    meets, once. Blocks of vectors are held against blocks of centres.
+    meets, once.
     """
-    rows, cols = (max(1, -(-df.count() // REACH)) for df in (members, groups))
-    low = groups.select("grp", "low")
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vectors = members.join(low, "grp").select("id", "v", "grp", "low", deal("id", rows).alias("_i"), every(cols).alias("_j"))
-    centres = groups.select(F.lit(None).cast("long").alias("id"), F.col("centre").alias("v"), "grp", "low", every(rows).alias("_i"), deal("grp", cols).alias("_j"))
-
-    def reach(table: pa.Table) -> pa.Table:
-        x, grp, low = _matrix(table["v"], dim), table["grp"].to_numpy(), table["low"].to_numpy()
-        centre = table["id"].is_null().to_numpy()
-        v, c = np.nonzero(~centre)[0], np.nonzero(centre)[0]
-        angle = np.arccos(SIMILAR) + np.arccos(np.clip(low[c] - 1e-6, -1, 1))
-        limit = np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)) - 1e-5, -2)
-        at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(v) if len(c) else 0, 512):
-            part = v[lo : lo + 512]
-            a, b = np.nonzero(x[part] @ x[c].T >= limit)
-            a, b = part[a], c[b]
-            visits = (low[a] < low[b]) | ((low[a] == low[b]) & (grp[a] < grp[b]))
-            at.append(a[visits])
-            to.append(b[visits])
-        at, to = np.concatenate(at), np.concatenate(to)
-        return pa.table({"id": table["id"].take(pa.array(at)), "v": table["v"].take(pa.array(at)), "grp": grp[to]})
-
-    return vectors.unionByName(centres).groupBy("_i", "_j").applyInArrow(reach, "id long, v array<float>, grp long")
+    told = cut(_near_groups(groups, dim)).join(groups.select(F.col("grp").alias("to"), "code", "low"), "to")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = (_matrix(batch.column(1), dim) * _decoded(batch.column(3), dim)).sum(axis=1)
+            visits = batch.filter(pa.array(cos >= _room(_radius(batch.column(4).to_numpy()))))
+            yield pa.RecordBatch.from_arrays(visits.columns[:3], names=["id", "v", "grp"])
+
+    return members.join(told, "grp").select("id", "v", "to", "code", "low").mapInArrow(reach, "id long, v array<float>, grp long")
 
 
 def _same_neighbours(rows: DataFrame, dim: int, least: int) -> DataFrame:
@@ -429,12 +480,13 @@ def clusters(vectors: DataFrame, dim: int = 64, least: int = 3, id: str = "symbo
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, c = (_matrix(batch.column(k), dim, np.float64) for k in (1, 2))
-            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(c.astype(np.float32)), pa.array((x * c).sum(axis=1))], names=["grp", "centre", "low"])
+            x, code = _matrix(batch.column(1), dim, np.float64), _codes(_matrix(batch.column(2), dim, np.float64))
+            # The code itself is the centre that angles are told from, so its rounding costs nothing.
+            low = (x * _decoded(code, dim, np.float64)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), code, pa.array(low)], names=["grp", "code", "low"])
 
-    told = members.join(sums, "grp").select("grp", "v", "sums").mapInArrow(angles, "grp long, centre array<float>, low double")
-    groups = cut(told.groupBy("grp").agg(F.first("centre").alias("centre"), F.min("low").alias("low")))
+    told = members.join(sums, "grp").select("grp", "v", "sums").mapInArrow(angles, "grp long, code binary, low double")
+    groups = cut(told.groupBy("grp").agg(F.min("code").alias("code"), F.min("low").alias("low")))
     visitors = _visits(members, groups, dim).withColumn("own", F.lit(False))
     same = _same_neighbours(cut(members.withColumn("own", F.lit(True)).unionByName(visitors)), dim, least)
     found = cut(members.join(same, "id").select("cluster_id", "id", "v"))

@@ -134,6 +134,43 @@ def test_random_clusters_about_the_threshold(spark):
     assert got == want and {0, 5, 100, 105, 200, 205} <= {c for c, _ in want} and len({c for c, _ in want}) < 46
 
 
+def test_buckets_longer_than_a_batch(spark):
+    """More leaves in one hash bucket than rows in a batch."""
+    gram = np.full((24, 24), 0.82)
+    np.fill_diagonal(gram, 1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        got, want = found_and_wanted(spark, dict(enumerate(from_cosines(gram))))
+    finally:
+        spark.conf.set(key, before)
+    assert got == want and len(want) == 24
+
+
+def test_search_for_visitors_copies_no_vectors(spark, monkeypatch):
+    """Every two groups meet, whatever the blocks, and only codes of centres are copied to the blocks."""
+    monkeypatch.setattr(C, "REACH", 16)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((90, 64))
+    x[45:] = x[:45] + rng.standard_normal((45, 64)) * rng.uniform(0.2, 1.2, (45, 1))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    code = C._codes(x)
+    centre, low = C._decoded(code, 64, np.float64), rng.uniform(0.9, 1, 90)
+    groups = C.cut(spark.createDataFrame([(k, code[k].as_py(), float(low[k])) for k in range(90)], "grp long, code binary, low double"))
+    room = np.cos(np.arccos(C.THRESHOLD) + np.arccos(low)[:, None] + np.arccos(low))
+    near = centre @ centre.T
+    want = {(a, b) for a in range(90) for b in range(90) if low[a] < low[b] and near[a, b] >= room[a, b] + 1e-4}
+    maybe = {(a, b) for a in range(90) for b in range(90) if low[a] < low[b] and near[a, b] >= room[a, b] - 1e-3}
+    got = [(r.grp, r.to) for r in C._near_groups(groups, 64).collect()]
+    assert want <= set(got) <= maybe and len(got) == len(set(got)) and 20 < len(want) < 1000
+    members = C.cut(spark.createDataFrame([(k, x[k].tolist(), k) for k in range(90)], "id long, v array<float>, grp long"))
+    visits = C._visits(members, groups, 64)
+    assert {(r.id, r.grp) for r in visits.collect()} <= set(got)
+    plan = visits._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
+
+
 def test_link_recall():
     """Two leaves of one cluster share a hash bucket: recall at and above the threshold."""
     rng = np.random.default_rng(1)
